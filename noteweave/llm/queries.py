@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteweave.llm import confusables, cooccurrence
+from noteweave.llm import confusables, contamination, cooccurrence, markup
 from noteweave.llm.sql import ORACLE  # noqa: F401
 from noteweave.session import table
 
@@ -36,4 +36,29 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("item_lo").alias("b_lo"), F.col("item_hi").alias("b_hi"), "n_together", "n_lo", "n_hi", *rounded)
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pairs": p4_pairs}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.markup_kinds(table(spark, d, "documents"))
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_documents(table(spark, d, "documents"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
+    "p4_found": p4_found,
+    "p4_pairs": p4_pairs,
+    "p5_found": p5_found,
+    "p5_clean": p5_clean,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+}
