@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteweave.llm import confusables, contamination, cooccurrence, markup
+from noteweave.llm import confusables, contamination, cooccurrence, markup, pii
 from noteweave.llm.sql import ORACLE  # noqa: F401
 from noteweave.session import table
 
@@ -52,6 +52,14 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_spans(table(spark, d, "documents")).select("doc_id", "kind", "line_no").distinct()
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_groups": p3_groups,
@@ -61,4 +69,6 @@ QUERIES = {
     "p5_clean": p5_clean,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
 }
