@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteweave.llm import confusables, contamination, cooccurrence, markup, pii
+from noteweave.llm import canonical, confusables, contamination, cooccurrence, markup, mixing, pii
 from noteweave.llm.sql import ORACLE  # noqa: F401
 from noteweave.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = canonical.meant_entries(table(spark, d, "typed_links"), "typed_id", "raw", table(spark, d, "hub_titles"), "hub_id", "title", "aliases")
+    return found.select("typed_id", F.col("entry").cast("int").alias("hub_id"))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_values(table(spark, d, "typed_links"), "raw", table(spark, d, "hub_titles"), "hub_id", "title", "aliases")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return confusables.dirty_rows([
         ("links", table(spark, d, "links"), "link_id", "raw"),
@@ -52,6 +61,14 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.schedule(table(spark, d, "documents"), table(spark, d, "source_weights"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p8_mix(spark, d), table(spark, d, "source_weights"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.find_spans(table(spark, d, "documents")).select("doc_id", "kind", "line_no").distinct()
 
@@ -61,6 +78,8 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p4_found": p4_found,
@@ -69,6 +88,8 @@ QUERIES = {
     "p5_clean": p5_clean,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_redacted": p9_redacted,
 }
