@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from noteweave.plans import problems
+from noteweave.plans import problems, text_queries
 
-QUERIES = dict(problems.QUERIES)
-ORACLE = dict(problems.ORACLE)
+PARTS = (problems, text_queries)
+QUERIES = {name: q for part in PARTS for name, q in part.QUERIES.items()}
+ORACLE = {name: q for part in PARTS for name, q in part.ORACLE.items()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows up to which a dimension whose size has just been counted is broadcast.
 BROADCAST_ROWS = 200_000
@@ -38,3 +39,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def beside(df: DataFrame, row: DataFrame) -> DataFrame:
+    """``df`` with the columns of the one-row table ``row``, as a scalar subquery (no join)."""
+    one = row.select(F.struct(*row.columns).alias("s")).scalar()
+    return df.withColumn("__s", one).select(*df.columns, "__s.*")
