@@ -309,6 +309,7 @@ def map_values(
     The names are counted first. Up to ``max_names`` the index goes to the
     workers; a longer list is joined by n-gram instead.
     """
+    spark = values.sparkSession
     distinct = values.groupBy(F.col(raw).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
     names = _names(reference, key, title, aliases)
     asked = distinct.select("value").filter("value IS NOT NULL")
@@ -321,7 +322,9 @@ def map_values(
                 found = _decided([(v, index.match(v, threshold, margin)) for v in batch.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([found.column(0), batch.column(1), *found.columns[1:]], ["value", "n_rows", *found.schema.names[1:]])
 
-        mapped = distinct.filter("value IS NOT NULL").mapInArrow(run, _OUT.replace("value string,", "value string, n_rows bigint,"))
+        # scoring costs far more than the bytes say, so the few bytes are spread by hand
+        spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+        mapped = distinct.filter("value IS NOT NULL").repartition(spread, "value").mapInArrow(run, _OUT.replace("value string,", "value string, n_rows bigint,"))
     else:
         mapped = distinct.filter("value IS NOT NULL").join(_joined(asked, names, threshold, margin), "value")
     empty = distinct.filter("value IS NULL").select("value", "n_rows", *(F.lit(None).cast(t).alias(c) for c, t in (("entry", "long"), ("cosine", "double"), ("spelling", "double"), ("margin", "double"))))
