@@ -334,5 +334,5 @@ def map_values(
 def meant_entries(values: DataFrame, row_key: str, raw: str, reference: DataFrame, key: str, title: str, aliases: str) -> DataFrame:
     """(row_key, entry): the rows whose value means an entry. Repeated rows give one row."""
     mapped = map_values(values, raw, reference, key, title, aliases).filter("entry IS NOT NULL").select("value", "entry")
-    rows = values.select(F.col(row_key), F.col(raw).alias("value")).filter("value IS NOT NULL")
-    return rows.join(mapped, "value").select(row_key, "entry").distinct()
+    rows = values.select(F.col(row_key).alias("__id"), F.col(raw).alias("value")).filter("value IS NOT NULL")
+    return rows.join(mapped, "value").select(F.col("__id").alias(row_key), "entry").distinct()

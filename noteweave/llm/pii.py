@@ -155,7 +155,19 @@ def candidates(text: str, given: frozenset[str] = GIVEN_NAMES) -> list[tuple[str
             )
             out.append(("email", s, e, votes, int(spoken)))
             mails.append((s, e))
-    taken: list[tuple[int, int]] = list(mails)
+    taken = bytearray(len(text))  # what an earlier kind has claimed; one look-up per span, however long the text
+    named = bytearray(len(text))
+    mail_ends = {b for _, b in mails}
+
+    def claim(mask: bytearray, s: int, e: int) -> None:
+        mask[s:e] = b"\1" * (min(e, len(mask)) - s)
+
+    def claimed(mask: bytearray, s: int, e: int) -> bool:
+        return mask.find(1, s, e) >= 0
+
+    for s, e in mails:
+        claim(taken, s, e)
+        claim(named, s, e)
     if any(c.isdigit() for c in text):
         for m in _ADDRESS.finditer(text) if any(x in text for x in _STREET_SIGNS) else ():
             s, e = m.span()
@@ -170,10 +182,10 @@ def candidates(text: str, given: frozenset[str] = GIVEN_NAMES) -> list[tuple[str
             )
             out.append(("address", s, e, votes, int(box)))
             town = re.match(rf"(?:\.?,?[ ](?:Apt\.?[ ]\d+|\d+\.[º°][ ][A-Z]))?,?(?:[ ]\d{{4,5}})?,?[ ]{_CAP}(?:[ ]\d{{4,5}})?", after)
-            taken.append((s, e + (town.end() if town else 0)))
+            claim(taken, s, e + (town.end() if town else 0))
         for m in _ID_VALUE.finditer(text):
             s, e = m.span()
-            if any(a < e and s < b for a, b in taken):
+            if claimed(taken, s, e):
                 continue
             before, after = text[max(0, s - 40) : s], text[e : e + 16]
             cue = _ID_CUE.search(before) is not None
@@ -190,10 +202,10 @@ def candidates(text: str, given: frozenset[str] = GIVEN_NAMES) -> list[tuple[str
             )
             out.append(("id_number", s, e, votes, int(form) + 2 * cue))
             if cue:
-                taken.append((s, e))
+                claim(taken, s, e)
         for m in _NUMBER.finditer(text):
             s, e = m.span()
-            if any(a < e and s < b for a, b in taken):
+            if claimed(taken, s, e):
                 continue
             digits = sum(c.isdigit() for c in m[0])
             form = _PHONE_FORM.fullmatch(m[0]) is not None
@@ -201,7 +213,7 @@ def candidates(text: str, given: frozenset[str] = GIVEN_NAMES) -> list[tuple[str
             cue = _PHONE_CUE.search(before) is not None
             if not form and not cue:
                 continue
-            beside = before.rstrip().endswith(",") and any(0 <= s - b <= 3 for _, b in mails)
+            beside = before.rstrip().endswith(",") and any(s - gap in mail_ends for gap in range(4))
             votes = (
                 _vote(form, not form),
                 _vote(cue or beside or _NEAR_START.search(before)),
@@ -209,11 +221,10 @@ def candidates(text: str, given: frozenset[str] = GIVEN_NAMES) -> list[tuple[str
                 _vote(9 <= digits <= 13, digits > 15 or digits < 7 or re.fullmatch(r"(?:19|20)\d\d[-./]\d\d[-./]\d\d.*", m[0])),
             )
             out.append(("phone", s, e, votes, int(m[0][0] == "+")))
-    people: list[tuple[int, int]] = []
     cued: list[re.Match] = []
 
     def person(s: int, e: int, name: str, titled: bool, first: bool, initial: bool, cued: bool) -> None:
-        if any(a < e and s < b for a, b in people) or any(a < e and s < b for a, b in mails):
+        if claimed(named, s, e):
             return
         before, after = text[max(0, s - 24) : s], text[e : e + 32]
         alone = _NEAR_START.search(before) is not None and re.match(r"[ ]*(?:<|\\\\|\r?\n|$|,)", after) is not None
@@ -226,7 +237,7 @@ def candidates(text: str, given: frozenset[str] = GIVEN_NAMES) -> list[tuple[str
             _vote(titled or first, name.lower() in _COMMON or len(name) < 3),
         )
         out.append(("person", s, e, votes, titled + 2 * initial))
-        people.append((s, e))
+        claim(named, s, e)
 
     for m in _WORDS.finditer(text):
         word = m[0]
