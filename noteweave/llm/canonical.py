@@ -128,6 +128,8 @@ def _alike(name: str, value: str) -> float:
         if 3 <= d < 4:
             # three edits only if letters were moved about, not replaced
             d = min(d, 1 + max((Counter(name) - Counter(value)).total(), (Counter(value) - Counter(name)).total()))
+        if d >= 2 and name[0] not in value[:2] and value[0] not in name[:2] and _sound(name)[0] != _sound(value)[0]:
+            d = 9  # typing errors rarely reach the first letter twice over
         most = 1 if n <= 4 else 2.3 if n <= 10 else 3
         best = max(0.7, 1 - d / max(n, v)) if d <= most and (n > 4 or v > 2) and (n > 5 or name[0] == value[0] or d <= 1) else 0.0
     if best < 0.7:

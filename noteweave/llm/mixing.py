@@ -74,8 +74,8 @@ def running_total(df: DataFrame, group: str, bucket: str, order: list[str], valu
     return inside.join(sums, [group, bucket]).withColumn(out, F.col("__b") + F.col("__w")).drop("__b", "__w")
 
 
-def _plan(weights: list[tuple[str, float, int]], tokens: dict[str, int], n_slots: int) -> tuple[list[tuple[str, float, int, int]], float]:
-    """([(source, share of the schedule, max_repeats, tokens)], tokens of a block) of one mix.
+def _plan(weights: list[tuple[str, float, int]], tokens: dict[str, int], n_slots: int) -> tuple[list[tuple[str, float, int, int]], float, int]:
+    """([(source, share of the schedule, max_repeats, tokens)], tokens of a block, slots) of one mix.
 
     The total is the largest at which every source that has tokens reaches its
     share within its repeats; the shares of sources without tokens go to the
@@ -84,9 +84,9 @@ def _plan(weights: list[tuple[str, float, int]], tokens: dict[str, int], n_slots
     there = [(s, share, r, tokens.get(s, 0)) for s, share, r in sorted(weights) if share > 0 and r > 0 and tokens.get(s, 0) > 0]
     whole = sum(share for _, share, _, _ in there)
     if not there:
-        return [], 1.0
+        return [], 1.0, 0
     total = min(r * t * whole / share for _, share, r, t in there)
-    return [(s, share / whole, r, t) for s, share, r, t in there], max(1.0, total / n_slots)
+    return [(s, share / whole, r, t) for s, share, r, t in there], max(1.0, total / n_slots), min(n_slots, int(total))
 
 
 def schedule(docs: DataFrame, weights: DataFrame, n_slots: int = N_SLOTS, path: str = TOKENIZER, seed: int = 17) -> DataFrame:
@@ -110,7 +110,7 @@ def schedule(docs: DataFrame, weights: DataFrame, n_slots: int = N_SLOTS, path:
     spark = docs.sparkSession
     uses, slots = None, None
     for mix in sorted({r["mix"] for r in rows}):
-        plan, block = _plan([(r["source"], r["target_share"], r["max_repeats"]) for r in rows if r["mix"] == mix], {s: t for s, (t, _) in totals.items()}, n_slots)
+        plan, block, used = _plan([(r["source"], r["target_share"], r["max_repeats"]) for r in rows if r["mix"] == mix], {s: t for s, (t, _) in totals.items()}, n_slots)
         if not plan:
             continue
         point = (F.col("id") + 0.5) * F.lit(GOLDEN)
@@ -118,7 +118,7 @@ def schedule(docs: DataFrame, weights: DataFrame, n_slots: int = N_SLOTS, path:
         for s, share, _, _ in plan:
             edge += share
             pick = F.when(F.col("__u") < edge, s) if pick is None else pick.when(F.col("__u") < edge, s)
-        own = spark.range(n_slots).withColumn("__u", point - F.floor(point)).select(F.lit(mix).alias("mix"), F.col("id").alias("slot"), pick.otherwise(plan[-1][0]).alias("source"))
+        own = spark.range(used).withColumn("__u", point - F.floor(point)).select(F.lit(mix).alias("mix"), F.col("id").alias("slot"), pick.otherwise(plan[-1][0]).alias("source"))
         own = own.withColumn("__k", F.floor(F.col("slot") / BUCKET_ROWS)).withColumn("__one", F.lit(1))
         own = running_total(own, "source", "__k", ["slot"], "__one", "rank").select("mix", "slot", "source", F.col("rank").cast("long").alias("rank"))
         slots = own if slots is None else slots.unionByName(own)
