@@ -80,7 +80,7 @@ def folder_correlation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def degree_norm_edges(spark: SparkSession, d: str) -> DataFrame:
-    return G.degree_normalised(_e(spark, d).withColumn("w", F.col("n").cast("double"))).select("a", "b", F.round("w", 6).alias("w"))
+    return G.degree_normalised(_e(spark, d).withColumn("w", F.col("n").cast("double"))).select("a", "b", F.round(F.col("w") + 1e-9, 6).alias("w"))
 
 
 def path_chain(spark: SparkSession, d: str) -> DataFrame:
@@ -249,7 +249,7 @@ g AS (SELECT (SELECT coalesce(sum{_C2}, 0) FROM (SELECT count(*) AS n FROM p GRO
   (SELECT coalesce(sum{_C2}, 0) FROM (SELECT count(*) AS n FROM p GROUP BY top)) AS top, (SELECT {_C2} FROM (SELECT count(*) AS n FROM p)) AS every)
 SELECT true AS same_component, in_all AS n_pairs, in_dir AS same_dir, in_top AS same_top FROM g UNION ALL SELECT false, every - in_all, dir - in_dir, top - in_top FROM g""",
     "degree_norm_edges": f"""WITH {_E}, d AS (SELECT node, degree FROM deg WHERE degree > 0), k AS (SELECT round(avg(degree) / pow(10.0, floor(log10(avg(degree))) - 3)) * pow(10.0, floor(log10(avg(degree))) - 3) AS k FROM d)
-SELECT a, b, round(n * sqrt(k * k / (x.degree * y.degree)), 6) AS w FROM e JOIN d x ON x.node = a JOIN d y ON y.node = b, k""",
+SELECT a, b, round(n * sqrt(k * k / (x.degree * y.degree)) + 1e-9, 6) AS w FROM e JOIN d x ON x.node = a JOIN d y ON y.node = b, k""",
     "path_chain": f"WITH {_PATHS} SELECT a, b, 0.25::DOUBLE AS w FROM (SELECT node AS a, lead(node) OVER (ORDER BY path, node) AS b FROM paths) WHERE b IS NOT NULL",
     "orphan_drawer": f"""WITH {_E}, {_PATHS}, lost AS (SELECT node, path, {_DIR.format('path')} AS dir FROM paths JOIN deg USING (node) WHERE degree = 0), first AS (SELECT dir, arg_min(node, (path, node)) AS rep FROM lost GROUP BY dir)
 SELECT rep AS a, node AS b FROM lost JOIN first USING (dir) WHERE node <> rep UNION ALL SELECT rep, b FROM (SELECT rep, lead(rep) OVER (ORDER BY dir) AS b FROM first) WHERE b IS NOT NULL""",

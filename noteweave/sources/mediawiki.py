@@ -99,9 +99,9 @@ def wikitext_to_markdown(text: str, target: Callable[[str], str | None]) -> str:
     s = re.sub(r"\[\[([^\[\]]*)\]\]([a-z]*)", link, s)
     s = re.sub(r"\[(?:https?|ftp)://\S+ ([^\]]*)\]", r"\1", s)
     s = re.sub(r"\[(?:https?|ftp)://[^\s\]]+\]", "", s)
+    s = re.sub(r"(?m)^([*#]+)[ \t]*", lambda m: "  " * (len(m[1]) - 1) + ("- " if m[1][-1] == "*" else "1. "), s)
     s = re.sub(r"(?m)^(={1,6})[ \t]*(.+?)[ \t]*\1[ \t]*$", lambda m: "#" * len(m[1]) + " " + m[2], s)
     s = s.replace("'''", "**").replace("''", "*")
-    s = re.sub(r"(?m)^([*#]+)[ \t]*", lambda m: "  " * (len(m[1]) - 1) + ("- " if m[1][-1] == "*" else "1. "), s) if not re.search(r"(?m)^#+ ", s) else re.sub(r"(?m)^(\*+)[ \t]*", lambda m: "  " * (len(m[1]) - 1) + "- ", s)
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"</?[a-zA-Z][^<>]*>", "", s)).strip() + "\n"
 
 
