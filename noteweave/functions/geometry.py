@@ -62,6 +62,18 @@ def hex_ring(i: Column) -> Column:
     return F.ceil((F.sqrt(F.lit(12) * i + 9) - 3) / 6).cast("int")
 
 
+def hex_spiral(i: Column) -> Column:
+    """struct(q, r): the i-th cell of the spiral, ring by ring, six sides to a ring."""
+    k = hex_ring(i)
+    j = i - (F.lit(3) * k * (k - 1) + 1)
+    side, at = F.floor(j / F.greatest(k, F.lit(1))).cast("int"), F.pmod(j, F.greatest(k, F.lit(1))).cast("int")
+    steps = [(k - at, at), (-at, k), (-k, k - at), (at - k, -at), (at, -k), (k, at - k)]
+    q, r = F.lit(0), F.lit(0)
+    for n, (dq, dr) in enumerate(steps):
+        q, r = F.when((k > 0) & (side == n), dq).otherwise(q), F.when((k > 0) & (side == n), dr).otherwise(r)
+    return F.struct(q.cast("int").alias("q"), r.cast("int").alias("r"))
+
+
 def orient(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
     return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
 

@@ -434,3 +434,84 @@ def displacement(before: DataFrame, after: DataFrame, slot: float = 1.0) -> Data
     v = beside(j, mean).select(F.round(F.sqrt(F.pow(F.col("dx") - F.col("mx"), F.lit(2)) + F.pow(F.col("dy") - F.col("my"), F.lit(2))), 6).alias("v"))
     h = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     return beside(h.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("v") > slot, F.col("c")).otherwise(0)).alias("moved")), ranked(h, "v", "c", (50, 99)))
+
+
+# -- hierarchies and probes
+
+
+def sibling_pairs(e: DataFrame, levels: DataFrame) -> DataFrame:
+    """(level, u, v, w): weight between siblings, each link counted once at the coarsest level that parts its ends.
+
+    levels is (level, node, label), 0 the finest.
+    """
+    a, b = levels.withColumnsRenamed({"node": "a", "label": "u"}), levels.withColumnsRenamed({"node": "b", "label": "v"})
+    apart = e.join(a, "a").join(b, ["level", "b"]).filter("u <> v")
+    top = apart.groupBy("a", "b").agg(F.max(F.struct("level", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w")).alias("t"))
+    return top.groupBy(F.col("t.level").alias("level"), F.col("t.u").alias("u"), F.col("t.v").alias("v")).agg(F.sum("t.w").alias("w"))
+
+
+def outside_pull(e: DataFrame, levels: DataFrame) -> DataFrame:
+    """(level, label, w): weight of the links that leave each cell."""
+    a, b = levels.withColumnsRenamed({"node": "a", "label": "u"}), levels.withColumnsRenamed({"node": "b", "label": "v"})
+    apart = e.join(a, "a").join(b, ["level", "b"]).filter("u <> v")
+    return apart.select("level", F.explode(F.array("u", "v")).alias("label"), "w").groupBy("level", "label").agg(F.sum("w").alias("w"))
+
+
+def level_report(e: DataFrame, levels: DataFrame) -> DataFrame:
+    """(level, groups, largest, q, intra_fraction): each level of a clustering at a glance."""
+    a, b = levels.withColumnsRenamed({"node": "a", "label": "u"}), levels.withColumnsRenamed({"node": "b", "label": "v"})
+    j = e.join(a, "a").join(b, ["level", "b"])
+    ends = j.select("level", "w", F.explode(F.array("u", "v")).alias("label")).groupBy("level", "label").agg(F.sum("w").alias("tot"))
+    inner = j.groupBy("level").agg(F.sum("w").alias("m"), F.sum(F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(0.0)).alias("inside"))
+    null = ends.join(inner, "level").groupBy("level").agg(F.sum(F.pow(F.col("tot") / (2 * F.col("m")), F.lit(2))).alias("null"))
+    size = levels.groupBy("level", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("level").agg(F.count(F.lit(1)).alias("groups"), F.max("k").alias("largest"))
+    part = F.col("inside") / F.col("m")
+    return size.join(inner, "level").join(null, "level").select("level", "groups", "largest", F.round(part - F.col("null"), 9).alias("q"), F.round(part, 9).alias("intra_fraction"))
+
+
+def community_shapes(e: DataFrame, labels: DataFrame, least: int = 4) -> DataFrame:
+    """(shape, n): communities of at least ``least`` nodes by the shape of their inner graph."""
+    size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    la, lb = labels.withColumnsRenamed({"node": "a", "label": "label"}), labels.withColumnsRenamed({"node": "b", "label": "lb"})
+    inner = cut(e.join(la, "a").join(lb, "b").filter("label = lb").select("label", "a", "b", "w", "n"))
+    nodes = cut(labels.join(size.select("label"), "label").select("label", "node"))
+    deg = inner.select("label", F.explode(F.array("a", "b")).alias("node")).groupBy("label", "node").agg(F.count(F.lit(1)).alias("d"))
+    d = nodes.join(deg, ["label", "node"], "left").withColumn("degree", F.coalesce("d", F.lit(0)))
+    agg = d.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), (F.sum("degree") / 2).cast("long").alias("m"), F.max("degree").alias("max_degree"), F.avg("degree").alias("mean_degree"), F.sum((F.col("degree") == 0).cast("int")).alias("isolates")
+    )
+    c = components(nodes.select("node"), inner.select("a", "b")).join(nodes, "node")
+    parts = c.groupBy("label", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("label").agg(F.sum((F.col("k") > 1).cast("int")).alias("nontrivial"), F.max("k").alias("largest"))
+    stats = agg.join(parts, "label").withColumn("forest", F.col("m") + F.col("nontrivial") + F.col("isolates") <= F.col("n"))
+    return stats.groupBy(shape_of().alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def cocitation_ratio(e: DataFrame, pos: DataFrame, least: int = 3) -> DataFrame:
+    """One row n_pairs, ratio: median distance of random pairs over that of co-cited unlinked pairs.
+
+    Each node is paired with the node a hash of its id points to in the order
+    of hashes; medians have rank n / 2.
+    """
+    near = _placed(cocited(e, least), pos).select(F.round(_length(), 9).alias("v"))
+    slot = pos.select("node", "x", "y", F.pmod(F.xxhash64("node"), F.lit(1 << 20)).alias("h"))
+    other = slot.groupBy(F.pmod(F.xxhash64("h"), F.lit(1 << 10)).alias("s")).agg(F.min_by(F.struct("x", "y"), "node").alias("o"))
+    rand = slot.withColumn("s", F.pmod(F.col("h"), F.lit(1 << 10))).join(other, "s").select(F.round(F.sqrt(F.pow(F.col("x") - F.col("o.x"), F.lit(2)) + F.pow(F.col("y") - F.col("o.y"), F.lit(2))), 9).alias("v"))
+    hist = lambda d: d.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    hn = hist(near)
+    row = beside(hn.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_pairs")), ranked(hn, "v", "c", (50,)))
+    return beside(row, ranked(hist(rand), "v", "c", (50,)).withColumnRenamed("p50", "r50")).select("n_pairs", F.round(F.col("r50") / F.when(F.col("p50") > 0, F.col("p50")), 6).alias("ratio"))
+
+
+def stability_probe(nodes: DataFrame, e: DataFrame, cluster_of) -> tuple[int, int]:
+    """(nodes flipped, nodes): how many nodes change group when one missing link is added.
+
+    ``cluster_of(nodes, edges)`` gives (node, label).
+    """
+    extra = missing_edge(e, components(nodes, e)).select("a", "b", F.lit(1.0).alias("w"))
+    before, after = cut(cluster_of(nodes, e)), cut(cluster_of(nodes, e.select("a", "b", "w").unionByName(extra)))
+    return notes_flipped(before, after), before.count()
+
+
+def border_gap(weight: Column, reference: Column, ocean: Column) -> Column:
+    """Room between two frames: all of ``ocean`` without links, none from half the reference weight on."""
+    return ocean * (F.lit(1.0) - F.greatest(F.lit(0.0), F.least(F.lit(1.0), weight / (reference / 2))))

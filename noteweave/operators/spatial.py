@@ -6,8 +6,10 @@ radius, n) with parent -1 at the top.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteweave.functions.geometry import hilbert, quantise
@@ -221,6 +223,23 @@ def resolve_zoom(tree: DataFrame, split_px: float) -> DataFrame:
     return tree.filter("node IS NOT NULL").join(up, "parent").select("node", F.when(F.col("r") > 0, F.lit(split_px) / F.col("r")).otherwise(0.0).alias("zoom"))
 
 
+def descent_travel(tree: DataFrame, max_depth: int = 64) -> DataFrame:
+    """(node, travel): the widest jump between a cell's centre and its parent's on the way down to each note."""
+    up = tree.select(F.col("cell").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"))
+    jump = tree.join(up, "parent").select("cell", F.sqrt(F.pow(F.col("x") - F.col("px"), F.lit(2)) + F.pow(F.col("y") - F.col("py"), F.lit(2))).alias("jump"))
+    step = cut(tree.join(jump, "cell", "left").select(F.col("cell").alias("at"), F.col("parent").alias("next"), F.coalesce("jump", F.lit(0.0)).alias("jump")))
+    walk = tree.filter("node IS NOT NULL").select("node", F.col("cell").alias("at"), F.lit(0.0).alias("travel"))
+    depth = tree.agg(F.max("depth")).first()[0] or 0
+    for _ in range(min(max_depth, depth)):
+        walk = cut(walk.join(step, "at", "left").select("node", F.coalesce("next", F.lit("")).alias("at"), F.greatest("travel", F.coalesce("jump", F.lit(0.0))).alias("travel")))
+    return walk.select("node", "travel")
+
+
+def estimated_radius(n: Column, spacing: float = 1.0) -> Column:
+    """Radius of a disc that holds ``n`` notes at a spacing."""
+    return F.lit(spacing) * F.sqrt(n / math.pi)
+
+
 def force_layout(e: DataFrame, labels: DataFrame, rounds: int = 60, max_nodes: int = 5_000) -> DataFrame:
     """(node, x, y): territories placed on a spiral, notes inside by springs and repulsion.
 

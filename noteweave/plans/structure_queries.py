@@ -136,6 +136,36 @@ def region_labels(spark: SparkSession, d: str) -> DataFrame:
     return cluster.region_labels(cut(communities(spark, d)))
 
 
+def sibling_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return graph.sibling_pairs(_e(spark, d), _two_levels(spark, d)).withColumn("w", F.round("w", 4))
+
+
+def outside_pull(spark: SparkSession, d: str) -> DataFrame:
+    return graph.outside_pull(_e(spark, d), _two_levels(spark, d)).withColumn("w", F.round("w", 4))
+
+
+def level_report(spark: SparkSession, d: str) -> DataFrame:
+    return graph.level_report(_e(spark, d), _two_levels(spark, d))
+
+
+def community_shapes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.community_shapes(cut(_e(spark, d)), nodes(spark, d).select("node", F.floor(F.col("node") / 16).alias("label")))
+
+
+def cocitation_ratio(spark: SparkSession, d: str) -> DataFrame:
+    from noteweave.plans.graph_queries import position_edges
+
+    return graph.cocitation_ratio(position_edges(spark, d), positions(spark, d), 2)
+
+
+def descent_travel(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.descent_travel(_tree(spark, d))
+
+
+def hex_spiral(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(1000).select("id", geometry.hex_spiral(F.col("id")).alias("h")).select("id", "h.q", "h.r")
+
+
 def chain_synth(spark: SparkSession, d: str) -> DataFrame:
     return synth.chain(spark, 5000, skip=7)
 
@@ -227,7 +257,7 @@ def note_meta(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     hilbert_order, curve_spacing, curve_cells, hex_cells, ring_histogram, component_extents, robust_radius, cell_web, heaviest_neighbours, sibling_overlap, six_fold_order,
-    lod_cut, lod_links, resolve_zoom, layout, communities, communities_parallel, coarsening_ladder, region_labels, chain_synth, motif_synth, hub_synth, synth_summary,
+    lod_cut, lod_links, resolve_zoom, layout, communities, communities_parallel, coarsening_ladder, region_labels, sibling_pairs, outside_pull, level_report, community_shapes, cocitation_ratio, descent_travel, hex_spiral, chain_synth, motif_synth, hub_synth, synth_summary,
     wiki_titles, redirect_resolve, wiki_import_report, incremental_outcomes, missing_rows, same_edges, dirty_overlay, link_signatures, event_routes, note_meta,
 )}
 
@@ -261,6 +291,15 @@ SELECT component, n, round(r, 6) AS radius FROM r WHERE i = least(n * 99 // 100,
     "heaviest_neighbours": f"WITH {_WEB}, s AS (SELECT u, v, w FROM web WHERE level = 0 UNION ALL SELECT v, u, w FROM web WHERE level = 0) SELECT * FROM (SELECT u, v, w, row_number() OVER (PARTITION BY u ORDER BY w DESC, v) AS rank FROM s) WHERE rank <= 5",
     "sibling_overlap": f"WITH {_CELLS}, d AS (SELECT a.radius + b.radius - sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM cells a JOIN cells b ON a.parent = b.parent AND a.cell < b.cell) SELECT count(*) AS n_pairs, round(100.0 * avg(CASE WHEN d > 0 THEN 1 ELSE 0 END), 6) AS overlap_pct, round(avg(CASE WHEN d > 0 THEN d END), 6) AS penetration FROM d",
     "six_fold_order": f"WITH {_CELLS}, t AS (SELECT c.parent, 6 * atan2(c.y - u.y, c.x - u.x) AS t FROM cells c JOIN cells u ON u.cell = c.parent) SELECT parent, count(*) AS n, round(sqrt(avg(cos(t)) ** 2 + avg(sin(t)) ** 2), 4) AS psi FROM t GROUP BY parent",
+    "sibling_pairs": f"""WITH {_WEB}, t AS (SELECT CASE WHEN a % 8 <> b % 8 THEN 1 ELSE 0 END AS level, CASE WHEN a % 8 <> b % 8 THEN 8 ELSE 64 END AS k, a, b, w FROM e WHERE a % 64 <> b % 64)
+SELECT level, least(a % k, b % k) AS u, greatest(a % k, b % k) AS v, round(sum(w), 4) AS w FROM t GROUP BY 1, 2, 3""",
+    "outside_pull": f"""WITH {_WEB}, x AS (SELECT 0 AS level, a % 64 AS u, b % 64 AS v, w FROM e UNION ALL SELECT 1, a % 8, b % 8, w FROM e)
+SELECT level, label, round(sum(w), 4) AS w FROM (SELECT level, u AS label, w FROM x WHERE u <> v UNION ALL SELECT level, v, w FROM x WHERE u <> v) GROUP BY 1, 2""",
+    "level_report": f"""WITH {_WEB}, x AS (SELECT 0 AS level, a % 64 AS u, b % 64 AS v, w FROM e UNION ALL SELECT 1, a % 8, b % 8, w FROM e),
+m AS (SELECT level, sum(w) AS m, sum(CASE WHEN u = v THEN w ELSE 0 END) AS inside FROM x GROUP BY level), t AS (SELECT level, label, sum(w) AS tot FROM (SELECT level, u AS label, w FROM x UNION ALL SELECT level, v, w FROM x) GROUP BY 1, 2),
+nodes AS (SELECT note_id AS node FROM notes UNION SELECT hub_id FROM hub_titles UNION SELECT a FROM edges WHERE a IS NOT NULL UNION SELECT b FROM edges WHERE b IS NOT NULL),
+s AS (SELECT level, count(*) AS groups, max(k) AS largest FROM (SELECT 0 AS level, node % 64 AS g, count(*) AS k FROM nodes GROUP BY 2 UNION ALL SELECT 1, node % 8, count(*) FROM nodes GROUP BY 2) GROUP BY level)
+SELECT s.level, groups, largest, round(inside / m - (SELECT sum((tot / (2 * m.m)) ** 2) FROM t WHERE t.level = s.level), 9) AS q, round(inside / m, 9) AS intra_fraction FROM s JOIN m USING (level)""",
     "chain_synth": "SELECT i AS a, i + 1 AS b FROM range(4999) t(i) UNION ALL SELECT i, i + 7 FROM range(4993) t(i) WHERE i % 7 = 0",
     "motif_synth": """WITH n AS (SELECT i, i % 22 AS p, i - i % 22 AS base FROM range(5000) t(i)), m AS (SELECT i, CASE WHEN p < 2 THEN base WHEN p < 5 THEN base + 2 WHEN p < 11 THEN base + 5 WHEN p < 15 THEN base + 11 ELSE base + 15 END AS s,
   CASE WHEN p < 2 THEN 2 WHEN p < 5 THEN 3 WHEN p < 11 THEN 6 WHEN p < 15 THEN 4 ELSE 7 END AS k FROM n)

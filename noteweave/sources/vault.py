@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from noteweave.functions import text as T
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
+def listing(spark: SparkSession, root: str, most: int = 10_000_000) -> DataFrame:
     """(path, kind, size, mtime) of every file below a root but hidden ones; contents are not read.
 
     kind is note, media or other. Spark's own listing also hides names that
     begin with '_'; folders that need them have to be listed another way.
+    ``most`` is the runaway guard of a scan: no more files are taken.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root if root.startswith("file:") else "file:" + root
     path = T.vault_relative(F.regexp_replace("path", "^file:/*", "file:/"), "file:/" + base.removeprefix("file:").lstrip("/"))
     rows = files.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).filter("path IS NOT NULL")
     kind = F.when(T.is_media_file(F.col("path")), "media").when(T.is_note_file(F.col("path")), "note").otherwise("other")
-    return rows.filter(~F.col("path").rlike(r"(^|/)\.")).select("path", kind.alias("kind"), "size", "mtime")
+    return rows.filter(~F.col("path").rlike(r"(^|/)\.")).select("path", kind.alias("kind"), "size", "mtime").limit(most)
 
 
 def unread(seen: DataFrame, stored: DataFrame) -> DataFrame:

@@ -85,6 +85,20 @@ def with_overlay(mentions: DataFrame, overlay: DataFrame) -> DataFrame:
     return mentions.join(overlay.select("src_key").distinct(), "src_key", "left_anti").unionByName(overlay)
 
 
+#: Seconds between looks at open texts, and between sweeps unwatched, watched and on mounts.
+OPEN_SECONDS, SWEEP_SECONDS = 2, {"unwatched": 15, "watched": 300, "mount": 1800}
+
+
+def next_task(full: bool, waiting: int, sweep_due: bool) -> str | None:
+    """What runs next: a full scan before pending paths before a sweep."""
+    return "full" if full else "pending" if waiting else "sweep" if sweep_due else None
+
+
+def dirty_notes(notes: DataFrame, changed: DataFrame) -> DataFrame:
+    """The rows of notes that a batch of changes touched."""
+    return notes.join(changed.filter("outcome <> 'unchanged'").select("path"), "path", "left_semi")
+
+
 # -- events
 
 

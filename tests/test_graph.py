@@ -179,3 +179,21 @@ def test_layout_is_repeatable(spark):
     labels = pos.select("node", F.col("component").alias("label"))
     a = {r.node: (round(r.x, 6), round(r.y, 6)) for r in S.force_layout(e, labels).collect()}
     assert len(set(a.values())) == 144 and a == {r.node: (round(r.x, 6), round(r.y, 6)) for r in S.force_layout(e, labels).collect()}
+
+
+def test_spiral_is_a_walk(spark):
+    from noteweave.functions import geometry
+
+    cells = [tuple(r) for r in spark.range(200).select("id", geometry.hex_spiral(F.col("id")).alias("h")).orderBy("id").select("h.q", "h.r").collect()]
+    assert len(set(cells)) == 200 and cells[0] == (0, 0)
+    ring = lambda q, r: max(abs(q), abs(r), abs(q + r))
+    assert [ring(*c) for c in cells] == sorted(ring(*c) for c in cells)
+
+
+def test_probe_and_shapes(spark):
+    nodes, e = make(spark, two_cliques(), 12)
+    e = G.simple_edges(e)
+    flipped, n = G.stability_probe(nodes, e, lambda x, y: K.communities(x, y).filter("level = 0").select("node", "label"))
+    assert n == 12 and flipped <= 2
+    labels = nodes.select("node", F.floor(F.col("node") / 6).alias("label"))
+    assert [(r["shape"], r["n"]) for r in G.community_shapes(e, labels).collect()] == [("clique", 2)]
