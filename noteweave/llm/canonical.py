@@ -35,6 +35,8 @@ GRAM = 3
 NOISE = frozenset("the a an of see re cf todo page pages note notes draft link links file wiki article md top later vs about de la le el der die das und and old_ copy new_ fwd check ref refs".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ])")
+_FUSED = re.compile(r"(?<=[a-zà-öø-ÿ])(?:of|oph)(?=[A-ZÀ-ÖØ-Þ])")
+_SLIPPED = re.compile(r"(?<=[a-zà-öø-ÿ])([A-ZÀ-ÖØ-Þ])[ ]+(?=[a-zà-öø-ÿ])")
 _EXT = re.compile(r"(?i)\.(?:md|markdown|txt|html?)\b")
 _FOLDS = (("ph", "f"), ("ck", "k"), ("c", "k"), ("q", "k"), ("th", "t"), ("z", "s"), ("y", "i"), ("w", "v"))
 _DOUBLE = re.compile(r"(.)\1+")
@@ -47,6 +49,7 @@ def ascii_words(value: str) -> list[str]:
     s = _EXT.sub(" ", s)
     head, _, tail = s.rstrip("/ ").rpartition("/")
     s = tail if tail.strip() else head
+    s = _SLIPPED.sub(r" \1", _FUSED.sub(" ", s))
     s = _CAMEL.sub(" ", s)
     s = unicodedata.normalize("NFKD", s.replace("ß", "ss").replace("ø", "o").replace("Ø", "O").replace("æ", "ae").replace("œ", "oe").replace("Œ", "Oe").replace("ł", "l").replace("Ł", "L"))
     s = "".join(c for c in s if not unicodedata.combining(c)).casefold()
@@ -111,7 +114,7 @@ def _abbreviates(name: str, value: str) -> float:
 @lru_cache(20_000)
 def _is_noise(word: str) -> bool:
     """A word around names, or a short one with a typing error."""
-    return word in NOISE or (len(word) <= 4 and (_sound(word) in ("of", "te") or any(abs(len(word) - len(w)) <= 1 and edits(w, word) <= 1 for w in ("the", "of"))))
+    return word in NOISE or (len(word) <= 4 and (_sound(word) in ("of", "te") or any(abs(len(word) - len(w)) <= 1 and edits(w, word) <= 1 for w in ("the", "of", "oph"))))
 
 
 @lru_cache(200_000)
@@ -128,7 +131,7 @@ def _alike(name: str, value: str) -> float:
         if 3 <= d < 4:
             # three edits only if letters were moved about, not replaced
             d = min(d, 1 + max((Counter(name) - Counter(value)).total(), (Counter(value) - Counter(name)).total()))
-        if d >= 2 and name[0] not in value[:2] and value[0] not in name[:2] and _sound(name)[0] != _sound(value)[0]:
+        if 1 - d / max(n, v) < 0.8 and d >= 2 and name[0] not in value[:2] and value[0] not in name[:2] and _sound(name)[0] != _sound(value)[0]:
             d = 9  # typing errors rarely reach the first letter twice over
         most = 1 if n <= 4 else 2.3 if n <= 10 else 3
         best = max(0.7, 1 - d / max(n, v)) if d <= most and (n > 4 or v > 2) and (n > 5 or name[0] == value[0] or d <= 1) else 0.0

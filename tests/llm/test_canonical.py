@@ -13,7 +13,7 @@ INDEX = C.Index([(h, n) for h, t, a in HUBS for n in [t, *(a or [])]])
     [
         ("Grey Viradarik Handbook", 1), ("grey  viradarik handbook", 1), ("GREY VIRADARIK HDBK", 1), ("Grey Viradarik Hdbk.md", 1), ("Viradaric", 1), ("[[Viradarik", 1), ("todo: Viradraik", 1),
         ("Gisaphevum Comm.", 1), ("Chateau Hajefibes", 2), ("Château oph Hajefibes", 2), ("notes/Mafeguugok#top", 2), ("Zavasetis%20Pen.", 3), ("ZavasetisPeninsula", 3), ("Peninsula, Zavasetis!", 3),
-        ("ZAVASETISPENINSUAL", 3), ("Gｒey Viradarik Handbook", 1), ("Grey Viradarik Handbo", 1), ("The Pehanetan Rwy", 4), ("Sabuzaben Conf.", 5),
+        ("ZAVASETISPENINSUAL", 3), ("Gｒey Viradarik Handbook", 1), ("Grey Viradarik Handbo", 1), ("The Pehanetan Rwy", 4), ("CommissionofSabuzaben", 6), ("Zavasetis eninsula", 3), ("ZavasetisP eninsula", 3), ("Château opth Hajefibes", 2), ("Sabuzaben Conf.", 5),
         ("Pehanetan Spillway", None), ("Viradarik Festival", None), ("Bacudopir Handbook", None), ("Handbook", None), ("aaa", None), ("2024-05-03", None), ("", None), ("  ", None), (None, None), ("???", None),
     ],
 )
