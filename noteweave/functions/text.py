@@ -116,9 +116,10 @@ def is_relative(c: Column) -> Column:
 
 def is_note_like(c: Column) -> Column:
     """Can the target name a note? Not empty, no anchor alone, no scheme, no foreign extension."""
+    c = F.regexp_replace(c, r"^[ \t]+|[ \t]+$", "")
     base = F.element_at(F.split(strip_fragment(c), r"[/\\]"), -1)
     plain = ~base.contains(".") | base.rlike(r"(?i)^.+\.(md|markdown)$")
-    return (c != "") & ~c.startswith("#") & ~c.contains(":") & (strip_fragment(c) != "") & plain
+    return ~c.contains(":") & (base != "") & plain
 
 
 def joined_path(base: Column, rest: Column) -> Column:
@@ -159,8 +160,8 @@ def heading_anchor(c: Column) -> Column:
 
 
 def sanitize_title(c: Column) -> Column:
-    """Link text without brackets and line ends, 'note' if nothing is left."""
-    t = F.trim(F.regexp_replace(c, r"[\[\]\r\n]", ""))
+    """Link text without brackets, 'note' if nothing is left."""
+    t = F.regexp_replace(c, r"[\[\]]", "")
     return F.when(t == "", "note").otherwise(F.substring(t, 1, MAX_TITLE))
 
 
@@ -204,12 +205,13 @@ def quantise_significant(x: Column, digits: int = 4) -> Column:
 
 
 def folder_kinship(a: Column, b: Column) -> Column:
-    """How related two folders are, from 0.08 to 1."""
+    """How related two folders are, 0 to 1."""
     shared = shared_dirs(a, b)
     parent = ((a != "") & (dir_of(b) == a) & (b != "")) | ((b != "") & (dir_of(a) == b) & (a != ""))
     return (
         F.when(a == b, F.when(a == "", 0.22).otherwise(1.0))
         .when(parent, 0.55)
         .when((a == "") | (b == ""), 0.08)
+        .when(shared == 0, 0.0)
         .otherwise(F.lit(0.12) + F.lit(0.12) * F.least(shared, F.lit(3)))
     )

@@ -310,21 +310,37 @@ def graph_stats(nodes: DataFrame, e: DataFrame, c: DataFrame | None = None) -> D
     return row.withColumn("density", density).withColumn("forest", F.col("m") + every <= F.col("n"))
 
 
-def shape_of() -> Column:
-    """Name of a graph's shape from the columns of ``graph_stats``, first rule that fits."""
-    n, m, iso, k = F.col("n"), F.col("m"), F.col("isolates"), F.col("nontrivial")
-    rest = n - iso
-    return (
-        F.when((n == 0) | (m == 0), "orphans")
-        .when((k == 1) & (iso == 0) & F.col("forest") & (F.col("max_degree") <= 2), "chain")
-        .when((k == 1) & F.col("forest") & (F.col("max_degree") == rest - 1) & (rest > 2), "star")
-        .when((k == 1) & F.col("forest"), "tree")
-        .when((k == 1) & (m == rest * (rest - 1) / 2), "clique")
-        .when((k == 1) & (F.col("max_degree") <= 4) & (F.col("mean_degree") > 2.5), "grid")
-        .when((k >= 5) & (F.col("largest") < 0.5 * n), "islands")
-        .when(F.col("max_degree") > 12 * F.col("mean_degree"), "scale_free")
-        .otherwise("messy")
-    )
+# From which share or count on a graph counts as a shape.
+STAR_FROM, STAR_HUB, STAR_LEAVES = 4, 0.4, 0.6
+DENSE_FROM, DENSE, COMPLETE_FROM, COMPLETE = 8, 0.55, 5, 0.8
+ISLANDS_FROM, ISLAND_SHARE = 3, 0.55
+GRID_MAX, GRID_MEAN = 4, (2.4, 4.2)
+HUB_RATIO, HUB_SHARE = 8, 0.4
+
+
+def shape_of(bipartite: Column | None = None) -> Column:
+    """Name of a graph's shape from the columns of ``graph_stats``, first rule that fits.
+
+    Without ``bipartite`` that shape is never given.
+    """
+    n, m, k = F.col("n"), F.col("m"), F.col("nontrivial")
+    hub, few, cyclic = F.col("max_degree") / n, k <= 2, ~F.col("forest")
+    rules = [
+        ("orphans", (n == 0) | (m == 0) | ((k == 0) & (2 * F.col("isolates") >= n))),
+        ("star", (n >= STAR_FROM) & (hub >= STAR_HUB) & (F.col("leaves") / n >= STAR_LEAVES)),
+        ("clique", ((n >= DENSE_FROM) & (F.col("density") >= DENSE)) | ((n >= COMPLETE_FROM) & (F.col("density") >= COMPLETE))),
+        ("islands", (k >= ISLANDS_FROM) & (F.col("largest") / n < ISLAND_SHARE)),
+        ("chain", (F.col("max_degree") <= 2) & few & (m + 2 >= n - F.col("isolates"))),
+        ("tree", F.col("forest") & few),
+        ("grid", cyclic & (F.col("max_degree") <= GRID_MAX) & F.col("mean_degree").between(*GRID_MEAN)),
+        ("bipartite", cyclic & (F.lit(False) if bipartite is None else bipartite)),
+        ("scale_free", (F.col("mean_degree") > 0.5) & (F.col("max_degree") >= HUB_RATIO * F.col("mean_degree")) & (hub < HUB_SHARE)),
+        ("tree", F.col("forest")),
+    ]
+    name = F.lit("messy")
+    for shape, fits in reversed(rules):
+        name = F.when(fits, shape).otherwise(name)
+    return name
 
 
 def cocited(e: DataFrame, least: int = 3, most_degree: int = 128) -> DataFrame:
@@ -478,11 +494,12 @@ def community_shapes(e: DataFrame, labels: DataFrame, least: int = 4) -> DataFra
     deg = inner.select("label", F.explode(F.array("a", "b")).alias("node")).groupBy("label", "node").agg(F.count(F.lit(1)).alias("d"))
     d = nodes.join(deg, ["label", "node"], "left").withColumn("degree", F.coalesce("d", F.lit(0)))
     agg = d.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), (F.sum("degree") / 2).cast("long").alias("m"), F.max("degree").alias("max_degree"), F.avg("degree").alias("mean_degree"), F.sum((F.col("degree") == 0).cast("int")).alias("isolates")
+        F.count(F.lit(1)).alias("n"), (F.sum("degree") / 2).cast("long").alias("m"), F.max("degree").alias("max_degree"), F.avg("degree").alias("mean_degree"), F.sum((F.col("degree") == 0).cast("int")).alias("isolates"), F.sum((F.col("degree") == 1).cast("int")).alias("leaves")
     )
     c = components(nodes.select("node"), inner.select("a", "b")).join(nodes, "node")
     parts = c.groupBy("label", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("label").agg(F.sum((F.col("k") > 1).cast("int")).alias("nontrivial"), F.max("k").alias("largest"))
     stats = agg.join(parts, "label").withColumn("forest", F.col("m") + F.col("nontrivial") + F.col("isolates") <= F.col("n"))
+    stats = stats.withColumn("density", F.when(F.col("n") > 1, 2.0 * F.col("m") / (F.col("n") * (F.col("n") - 1))).otherwise(0.0))
     return stats.groupBy(shape_of().alias("shape")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -39,12 +39,10 @@ class Note(NamedTuple):
 
 def note_like(target: str) -> bool:
     """Can a target name a note (see functions.text.is_note_like)?"""
-    if not target or target[0] == "#" or ":" in target:
+    if ":" in target:
         return False
-    base = re.split(r"[/\\]", target.split("#", 1)[0])[-1]
-    if not target.split("#", 1)[0]:
-        return False
-    return "." not in base or re.fullmatch(r"(?i).+\.(?:md|markdown)", base) is not None
+    base = re.split(r"[/\\]", target.strip(" \t").split("#", 1)[0])[-1]
+    return base != "" and ("." not in base or re.fullmatch(r"(?i).+\.(?:md|markdown)", base) is not None)
 
 
 def _unquote(s: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from noteweave.operators import graph as G
 from noteweave.operators import query
-from noteweave.session import cut, table
+from noteweave.session import beside, cut, table
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +113,9 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shape_class(spark: SparkSession, d: str) -> DataFrame:
-    return graph_stats(spark, d).select(G.shape_of().alias("shape"))
+    e = cut(_e(spark, d))
+    two = G.is_bipartite(nodes(spark, d), e).agg(F.min("bipartite").alias("two"))
+    return beside(G.graph_stats(nodes(spark, d), e), two).select(G.shape_of(F.col("two")).alias("shape"))
 
 
 def bipartite(spark: SparkSession, d: str) -> DataFrame:
@@ -259,10 +261,14 @@ SELECT round(sum(coalesce(inside, 0) / m - (tot / (2 * m)) ** 2), 9) AS q, round
     "dense_labels": f"WITH {_E}, l AS (SELECT node, (node * 7 + 3) % 11 AS label FROM nodes), f AS (SELECT label, dense_rank() OVER (ORDER BY min(node)) - 1 AS dense FROM l GROUP BY label) SELECT node, dense AS label FROM l JOIN f USING (label)",
     "partition_overlap": f"WITH {_E} SELECT node % 10 AS old, node % 7 AS new, count(*) AS n FROM nodes GROUP BY 1, 2",
     "graph_stats": f"{_STATS} SELECT *, round(2.0 * m / (n::DOUBLE * (n - 1)), 12) AS density, m + nontrivial + isolates <= n AS forest FROM stats",
-    "shape_class": f"""{_STATS} SELECT CASE WHEN n = 0 OR m = 0 THEN 'orphans' WHEN nontrivial = 1 AND isolates = 0 AND m + nontrivial + isolates <= n AND max_degree <= 2 THEN 'chain'
-  WHEN nontrivial = 1 AND m + nontrivial + isolates <= n AND max_degree = n - isolates - 1 AND n - isolates > 2 THEN 'star' WHEN nontrivial = 1 AND m + nontrivial + isolates <= n THEN 'tree'
-  WHEN nontrivial = 1 AND m = (n - isolates) * (n - isolates - 1) / 2 THEN 'clique' WHEN nontrivial = 1 AND max_degree <= 4 AND mean_degree > 2.5 THEN 'grid'
-  WHEN nontrivial >= 5 AND largest < 0.5 * n THEN 'islands' WHEN max_degree > 12 * mean_degree THEN 'scale_free' ELSE 'messy' END AS shape FROM stats""",
+    "shape_class": f"""{_STATS}, dn AS (SELECT node FROM nodes UNION ALL SELECT -node - 1 FROM nodes), ds AS (SELECT u, -v - 1 AS v FROM sym UNION ALL SELECT -v - 1, u FROM sym),
+c2(node, component) USING KEY (node) AS (SELECT node, node FROM dn UNION SELECT t.node, min(s.component) FROM c2 s JOIN ds ON ds.u = s.node JOIN recurring.c2 t ON t.node = ds.v WHERE s.component < t.component GROUP BY t.node),
+two AS (SELECT bool_and(x.component <> y.component) AS two FROM c2 x JOIN c2 y ON y.node = -x.node - 1 WHERE x.node >= 0),
+f AS (SELECT *, m + nontrivial + isolates <= n AS forest, 2.0 * m / (n::DOUBLE * (n - 1)) AS density, max_degree / n AS hub FROM stats, two)
+SELECT CASE WHEN n = 0 OR m = 0 OR (nontrivial = 0 AND 2 * isolates >= n) THEN 'orphans' WHEN n >= 4 AND hub >= 0.4 AND leaves / n >= 0.6 THEN 'star' WHEN (n >= 8 AND density >= 0.55) OR (n >= 5 AND density >= 0.8) THEN 'clique'
+  WHEN nontrivial >= 3 AND largest / n < 0.55 THEN 'islands' WHEN max_degree <= 2 AND nontrivial <= 2 AND m + 2 >= n - isolates THEN 'chain' WHEN forest AND nontrivial <= 2 THEN 'tree'
+  WHEN NOT forest AND max_degree <= 4 AND mean_degree BETWEEN 2.4 AND 4.2 THEN 'grid' WHEN NOT forest AND two THEN 'bipartite' WHEN mean_degree > 0.5 AND max_degree >= 8 * mean_degree AND hub < 0.4 THEN 'scale_free'
+  WHEN forest THEN 'tree' ELSE 'messy' END AS shape FROM f""",
     "bipartite": f"""WITH RECURSIVE {_E}, dn AS (SELECT node FROM nodes UNION ALL SELECT -node - 1 FROM nodes), ds AS (SELECT u, -v - 1 AS v FROM sym UNION ALL SELECT -v - 1, u FROM sym),
 cc(node, component) USING KEY (node) AS (SELECT node, node FROM dn UNION SELECT t.node, min(s.component) FROM cc s JOIN ds ON ds.u = s.node JOIN recurring.cc t ON t.node = ds.v WHERE s.component < t.component GROUP BY t.node),
 j AS (SELECT least(x.component, y.component) AS c, min(x.component <> y.component) AS bipartite FROM cc x JOIN cc y ON y.node = -x.node - 1 WHERE x.node >= 0 GROUP BY 1)

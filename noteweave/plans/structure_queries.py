@@ -267,7 +267,7 @@ web AS (SELECT 0 AS level, least(a % 64, b % 64) AS u, greatest(a % 64, b % 64)
   UNION ALL SELECT 1, least(a % 8, b % 8), greatest(a % 8, b % 8), round(sum(w), 4) FROM e WHERE a % 8 <> b % 8 GROUP BY 1, 2, 3)"""
 _CELLS = f"""{_P}, m AS (SELECT component AS cell, 1000 + component % 3 AS parent, x, y FROM p UNION ALL SELECT 1000 + component % 3, -1, x, y FROM p),
 mid AS (SELECT cell, parent, avg(x) AS x, avg(y) AS y FROM m GROUP BY cell, parent), cells AS (SELECT mid.*, (SELECT max(sqrt((m.x - mid.x) ** 2 + (m.y - mid.y) ** 2)) FROM m WHERE m.cell = mid.cell) AS radius FROM mid)"""
-_T = "trim(regexp_replace({}, '[ _]+', ' ', 'g'), ' ')"
+_T = "regexp_replace(regexp_replace({}, '^[ \\t\\n_]+|[ \\t\\n_]+$', '', 'g'), '[ _]+', ' ', 'g')"
 
 
 def _canon(x: str) -> str:
@@ -275,7 +275,7 @@ def _canon(x: str) -> str:
     return f"(CASE WHEN regexp_matches({t}, '^[a-z]') THEN upper(substr({t}, 1, 1)) || substr({t}, 2) ELSE {t} END)"
 
 
-_SAFE = "regexp_replace(regexp_replace({}, '[\\x00-\\x1f\\x7f<>:\"/\\\\|?*#^\\[\\]]', '-', 'g'), '[. ]+$', '')"
+_SAFE = "regexp_replace(regexp_replace({}, '[\\x00-\\x1f<>:\"/\\\\|?*#\\[\\]]', '-', 'g'), '[. ]+$', '')"
 _LATEST = "latest AS (SELECT * FROM wiki_pages QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY landed_at DESC, title DESC) = 1)"
 _STATE = "SELECT 'user/' || user_id || '.md' AS path, event_type || ':' || value::DECIMAL(12, 2) AS hash, ts AS mtime FROM events WHERE ts < TIMESTAMP '{}' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
 _STATES = f"o AS ({_STATE.format(CUTS[0])}), n AS ({_STATE.format(CUTS[1])})"
@@ -305,12 +305,12 @@ SELECT s.level, groups, largest, round(inside / m - (SELECT sum((tot / (2 * m.m)
   CASE WHEN p < 2 THEN 2 WHEN p < 5 THEN 3 WHEN p < 11 THEN 6 WHEN p < 15 THEN 4 ELSE 7 END AS k FROM n)
 SELECT least(i, b) AS a, greatest(i, b) AS b FROM (SELECT i, k, CASE WHEN i = s + k - 1 THEN s ELSE i + 1 END AS b FROM m) WHERE b < 5000 AND NOT (k = 2 AND b < i)""",
     "hub_synth": "SELECT 0 AS a, i AS b FROM range(1, 5000) t(i)",
-    "wiki_titles": f"SELECT page_id, c AS title, {_SAFE.format('c')} AS stem, regexp_matches(title, '^:|:[^ ]') AS namespaced FROM (SELECT DISTINCT page_id, title, {_canon('title')} AS c FROM wiki_pages)",
+    "wiki_titles": f"SELECT page_id, c AS title, {_SAFE.format('c')} AS stem, regexp_matches(title, '^:|^[^:]+:([^ ]|$)') AS namespaced FROM (SELECT DISTINCT page_id, title, {_canon('title')} AS c FROM wiki_pages)",
     "redirect_resolve": f"""WITH {_LATEST}, own AS (SELECT *, {_canon('title')} AS key FROM latest), known AS (SELECT key, min(CASE WHEN coalesce(redirect, '') = '' THEN 1 ELSE 0 END) AS plain FROM own WHERE alive AND ns = '0' GROUP BY key),
 asked AS (SELECT page_id, title, {_canon("split_part(redirect, '#', 1)")} AS dest FROM own WHERE redirect <> '')
 SELECT page_id, title, dest AS leads_to, CASE WHEN plain IS NULL THEN 'red' WHEN plain = 1 THEN 'article' ELSE 'redirect' END AS state FROM asked LEFT JOIN known ON known.key = dest""",
     "wiki_import_report": f"""WITH {_LATEST}, s AS (SELECT count(*) - 1 AS extra FROM latest WHERE ns = '0' AND coalesce(redirect, '') = '' GROUP BY {_SAFE.format(_canon('title'))})
-SELECT count(*) AS pages, count(*) FILTER (ns = '0' AND coalesce(redirect, '') = '') AS articles, count(*) FILTER (redirect <> '') AS redirects, count(*) FILTER (regexp_matches(title, '^:|:[^ ]')) AS namespaced, sum(n_bytes)::BIGINT AS bytes, (SELECT sum(extra)::BIGINT FROM s) AS collisions FROM latest""",
+SELECT count(*) AS pages, count(*) FILTER (ns = '0' AND coalesce(redirect, '') = '') AS articles, count(*) FILTER (redirect <> '') AS redirects, count(*) FILTER (regexp_matches(title, '^:|^[^:]+:([^ ]|$)')) AS namespaced, sum(n_bytes)::BIGINT AS bytes, (SELECT sum(extra)::BIGINT FROM s) AS collisions FROM latest""",
     "incremental_outcomes": f"""WITH {_STATES} SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'vanished' WHEN o.hash <> n.hash THEN 'rewrote' WHEN o.mtime = n.mtime THEN 'unchanged' ELSE 'touched' END AS outcome FROM o FULL JOIN n ON o.path = n.path""",
     "missing_rows": f"WITH {_STATES} SELECT path, hash FROM n WHERE path NOT IN (SELECT path FROM o)",
     "same_edges": f"""WITH {_LINKS}, a AS (SELECT src_key, raw, count(*) AS n1 FROM l WHERE seen_at < TIMESTAMP '2025-06-01' GROUP BY 1, 2), b AS (SELECT src_key, raw, count(*) AS n2 FROM l GROUP BY 1, 2)

@@ -191,8 +191,8 @@ _DIR = "CASE WHEN contains({0}, '/') THEN regexp_replace({0}, '/[^/]*$', '') ELS
 _BARE = "regexp_replace({}, '\\.(markdown|md)$', '', 'i')"
 _CURRENT = "(SELECT * FROM notes WHERE alive AND NOT phantom QUALIFY row_number() OVER (PARTITION BY note_key ORDER BY landed_at DESC, mtime DESC, title DESC, coalesce(size, -1) DESC) = 1)"
 _NORM = "regexp_replace(regexp_replace(regexp_replace({}, '^[ \\t]+|[ \\t]+$', '', 'g'), '[/\\\\]+$', ''), '\\.(markdown|md)$', '', 'i')"
-_BASE = "split_part(replace(split_part({0}, '#', 1), '\\', '/'), '/', -1)"
-_NOTE_LIKE = f"({{0}} <> '' AND {{0}} NOT LIKE '#%' AND NOT contains({{0}}, ':') AND split_part({{0}}, '#', 1) <> '' AND (NOT contains({_BASE}, '.') OR regexp_matches({_BASE}, '^.+\\.(md|markdown)$', 'i')))"
+_BASE = "split_part(replace(split_part(regexp_replace({0}, '^[ \\t]+|[ \\t]+$', '', 'g'), '#', 1), '\\', '/'), '/', -1)"
+_NOTE_LIKE = f"(NOT contains({{0}}, ':') AND {_BASE} <> '' AND (NOT contains({_BASE}, '.') OR regexp_matches({_BASE}, '^.+\\.(md|markdown)$', 'i')))"
 _JOINED = """list_reduce(list_filter(string_split_regex({0} || '/' || {1}, '[/\\\\]'), lambda x: x <> '' AND x <> '.'),
   lambda acc, x: CASE WHEN acc IS NULL THEN NULL WHEN x <> '..' THEN acc || '/' || x WHEN acc = '' THEN NULL ELSE regexp_replace(acc, '/[^/]*$', '') END, '')"""
 _SHARED = "len(list_filter(range(1, 1 + least(len(string_split({0}, '/')), len(string_split({1}, '/')))), lambda i: {0} <> '' AND string_split({0}, '/')[1:i] = string_split({1}, '/')[1:i]))"
@@ -237,7 +237,7 @@ ORACLE = {
   coalesce(nullif(title, ''), stem) AS shown, CASE WHEN size >= 1 THEN length(bin(size)) - 1 END AS bucket,
   CASE WHEN size = 1 THEN '1' WHEN size > 1 THEN (1::BIGINT << (length(bin(size)) - 1)) || '-' || ((1::BIGINT << length(bin(size))) - 1) END AS bucket_label,
   CASE WHEN size = 0 THEN 0.0 ELSE round(size / pow(10.0, floor(log10(size)) - 3)) * pow(10.0, floor(log10(size)) - 3) END AS rough_size,
-  CASE WHEN dir = 'archive/2024' THEN 1.0 WHEN dir = 'archive' OR regexp_matches(dir, '^archive/2024/[^/]+$') THEN 0.55 WHEN dir = '' THEN 0.08 ELSE 0.12 + 0.12 * least(3, {_SHARED.format("dir", "'archive/2024'")}) END::DOUBLE AS kinship,
+  CASE WHEN dir = 'archive/2024' THEN 1.0 WHEN dir = 'archive' OR regexp_matches(dir, '^archive/2024/[^/]+$') THEN 0.55 WHEN dir = '' THEN 0.08 WHEN {_SHARED.format("dir", "'archive/2024'")} = 0 THEN 0 ELSE 0.12 + 0.12 * least(3, {_SHARED.format("dir", "'archive/2024'")}) END::DOUBLE AS kinship,
   path AS in_vault,
   repeat('../', 2 - {_SHARED.format("'archive/2024'", "dir")}) || array_to_string(string_split(path, '/')[1 + {_SHARED.format("'archive/2024'", "dir")}:], '/') AS from_archive
 FROM (SELECT *, {_DIR.format("path")} AS dir FROM {_CURRENT})""",

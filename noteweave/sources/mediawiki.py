@@ -39,18 +39,18 @@ def unescaped(c: Column) -> Column:
 
 def canon(title: Column) -> Column:
     """A title with blanks for underscores, runs as one, trimmed, first ASCII letter in upper case."""
-    t = F.trim(F.regexp_replace(title, "[ _]+", " "))
+    t = F.regexp_replace(F.regexp_replace(title, r"^[ \t\n_]+|[ \t\n_]+$", ""), "[ _]+", " ")
     return F.concat(F.translate(F.substring(t, 1, 1), LOWER, UPPER), F.substring(t, 2, 1_000_000_000))
 
 
 def safe_stem(title: Column) -> Column:
     """A title as a file name: unsafe characters and controls as '-', no blank or dot at the end."""
-    return F.regexp_replace(F.regexp_replace(title, r'[\x00-\x1f\x7f<>:"/\\|?*#^\[\]]', "-"), "[. ]+$", "")
+    return F.regexp_replace(F.regexp_replace(title, r'[\x00-\x1f<>:"/\\|?*#\[\]]', "-"), "[. ]+$", "")
 
 
 def is_namespaced(title: Column) -> Column:
-    """A leading colon, or a colon not followed by a blank."""
-    return title.rlike("^:") | title.rlike(":[^ ]")
+    """A leading colon, or a first colon not followed by a blank."""
+    return title.rlike("^:|^[^:]+:([^ ]|$)")
 
 
 def resolve_redirects(pages: DataFrame) -> DataFrame:
