@@ -6,6 +6,7 @@ loops and repeats that most measures take; nodes is (node).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,17 +47,31 @@ def degrees(nodes: DataFrame, e: DataFrame, multigraph: bool = False) -> DataFra
     return nodes.join(ends, "node", "left").select("node", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-def ranked(histogram: DataFrame, value: str, count: str, percents: tuple[int, ...] = PERCENTILES) -> DataFrame:
-    """One row p50, p90, ...: nearest-rank percentiles of a (value, count) histogram.
+def at_rank(histogram: DataFrame, keys: list[str], ranks: dict[str, Callable[[Column], Column]], buckets: int = 4096) -> DataFrame:
+    """(keys, n, names): values of given ranks, from 0, in a histogram (keys, v, c).
 
-    Index round(p / 100 * (n - 1)). The window runs over distinct values, not rows.
+    ``ranks`` maps a name to the rank as a function of n. Values fall into
+    equal ranges, the ranges are counted and added up, and only inside a range
+    are values ordered, so neither a table nor a key is ranked by one task.
     """
-    cum = histogram.select(F.col(value).alias("v"), F.col(count).alias("c")).groupBy("v").agg(F.sum("c").alias("c"))
-    cum = cum.withColumn("upto", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    total = cum.agg(F.max("upto").alias("total"))
-    both = beside(cum, total)
-    at = lambda p: F.floor(F.lit(p / 100) * (F.col("total") - 1) + 0.5)
-    return both.agg(*[F.min(F.when(F.col("upto") > at(p), F.col("v"))).alias(f"p{p}") for p in percents])
+    h = histogram.groupBy(*keys, "v").agg(F.sum("c").alias("c"))
+    ends = h.groupBy(*keys).agg(F.min("v").alias("__lo"), F.max("v").alias("__hi"), F.sum("c").alias("n"))
+    j = h.join(ends, keys) if keys else beside(h, ends)
+    part = (F.col("v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * buckets
+    j = j.withColumn("__b", F.when(F.col("__hi") > F.col("__lo"), F.floor(part)).otherwise(0).cast("long"))
+    per = j.groupBy(*keys, "__b").agg(F.sum("c").alias("__k"))
+    before = F.coalesce(F.sum("__k").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    j = j.join(per.select(*keys, "__b", before.alias("__before")), [*keys, "__b"])
+    inside = F.sum("c").over(Window.partitionBy(*keys, "__b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    j = j.withColumn("__upto", F.col("__before") + inside)
+    return j.groupBy(*keys).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("__upto") > rank(F.col("n")), F.col("v"))).alias(name) for name, rank in ranks.items()])
+
+
+def ranked(histogram: DataFrame, value: str, count: str, percents: tuple[int, ...] = PERCENTILES) -> DataFrame:
+    """One row p50, p90, ...: nearest-rank percentiles of a (value, count) histogram, rank round(p / 100 * (n - 1))."""
+    h = histogram.select(F.col(value).alias("v"), F.col(count).alias("c"))
+    of = lambda p: lambda n: F.floor(F.lit(p / 100) * (n - 1) + 0.5)
+    return at_rank(h, [], {f"p{p}": of(p) for p in percents}).drop("n")
 
 
 def degree_summary(d: DataFrame) -> DataFrame:

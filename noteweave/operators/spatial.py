@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteweave.functions.geometry import hilbert, quantise
+from noteweave.operators.graph import at_rank
 from noteweave.session import beside, cut
 
 #: Nodes of a component chunked by one task; a larger component is cut along the curve first.
@@ -43,11 +44,8 @@ def curve_spacing(ordered: DataFrame) -> DataFrame:
     """(component, n_gaps, spacing): gaps between neighbours on the curve; spacing is the gap of rank n/2."""
     nxt = ordered.select("component", (F.col("pos") - 1).alias("pos"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     gap = ordered.join(nxt, ["component", "pos"]).select("component", F.sqrt(F.pow(F.col("x2") - F.col("x"), F.lit(2)) + F.pow(F.col("y2") - F.col("y"), F.lit(2))).alias("g"))
-    h = gap.groupBy("component", "g").agg(F.count(F.lit(1)).alias("c"))
-    up = F.sum("c").over(Window.partitionBy("component").orderBy("g").rowsBetween(Window.unboundedPreceding, 0))
-    total = h.groupBy("component").agg(F.sum("c").alias("n_gaps"))
-    j = h.withColumn("upto", up).join(total, "component").filter(F.col("upto") > F.floor(F.col("n_gaps") / 2))
-    return j.groupBy("component", "n_gaps").agg(F.min("g").alias("spacing"))
+    h = gap.groupBy("component", F.col("g").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    return at_rank(h, ["component"], {"spacing": lambda n: F.floor(n / 2)}).withColumnRenamed("n", "n_gaps")
 
 
 def chunk(gaps: list[float], arity: int) -> list[int]:
@@ -137,12 +135,10 @@ def component_extents(pos: DataFrame) -> DataFrame:
 
 def robust_radius(pos: DataFrame) -> DataFrame:
     """(component, n, radius): distance of rank 99 n / 100 from the centre of each component."""
-    mid = pos.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    j = pos.join(mid, "component").select("component", "n", F.round(F.sqrt(F.pow(F.col("x") - F.col("cx"), F.lit(2)) + F.pow(F.col("y") - F.col("cy"), F.lit(2))), 9).alias("r"))
-    h = j.groupBy("component", "n", "r").agg(F.count(F.lit(1)).alias("c"))
-    up = F.sum("c").over(Window.partitionBy("component").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
-    at = F.least(F.floor(F.col("n") * 99 / 100), F.col("n") - 1)
-    return h.withColumn("upto", up).filter(F.col("upto") > at).groupBy("component", "n").agg(F.min("r").alias("radius"))
+    mid = pos.groupBy("component").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    r = F.round(F.sqrt(F.pow(F.col("x") - F.col("cx"), F.lit(2)) + F.pow(F.col("y") - F.col("cy"), F.lit(2))), 9)
+    h = pos.join(mid, "component").groupBy("component", r.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    return at_rank(h, ["component"], {"radius": lambda n: F.least(F.floor(n * 99 / 100), n - 1)})
 
 
 # -- level of detail
