@@ -204,7 +204,7 @@ def degree_normalised(e: DataFrame, power: float = 0.5) -> DataFrame:
     d = both_ways(e).groupBy("u").agg(F.count(F.lit(1)).alias("d"))
     k = d.agg(quantise_significant(F.avg("d")).alias("k"))
     j = beside(e.join(d.withColumnsRenamed({"u": "a", "d": "da"}), "a").join(d.withColumnsRenamed({"u": "b", "d": "db"}), "b"), k)
-    return j.select("a", "b", F.round(F.col("w") * F.pow(F.col("k") * F.col("k") / (F.col("da") * F.col("db")), F.lit(power)), 9).alias("w"))
+    return j.select("a", "b", (F.col("w") * F.pow(F.col("k") * F.col("k") / (F.col("da") * F.col("db")), F.lit(power))).alias("w"))
 
 
 def path_chain(paths: DataFrame, weight: float = 0.25) -> DataFrame:
