@@ -102,7 +102,8 @@ class Scanner:
         if _MARKUP_SIGNS.search(s):
             s = _MARKUP.sub(_hide, s)
         get = self.ids.get
-        numbers = tuple([get(w, 0) for w in _WORD.findall(s.casefold() if s.isascii() else s.lower())])
+        # each word folded as in words_of; a fold of the whole text first could part a word
+        numbers = tuple([get(w, 0) for w in (_WORD.findall(s.lower()) if s.isascii() else map(str.casefold, _WORD.findall(s)))])
         if len(numbers) < self.words:
             return []
         stretches: dict[int, list[list[int]]] = {}

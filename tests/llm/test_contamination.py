@@ -39,6 +39,15 @@ def test_markup_case_and_line_breaks_do_not_count():
         assert [h[0] for h in s.hits(f"Before. {text} After.")] == [7], text
 
 
+def test_words_that_fold_beyond_lower_case():
+    for odd in ("Straße", "ΟΔΟΣ", "İzmir"):
+        item = ITEM.replace("greenhouse", odd)
+        s = C.Scanner([(7, item)])
+        for text in (item, item.replace(odd, odd.upper()) if odd != "İzmir" else item):
+            ((found, start, end, n),) = s.hits("é " + text + " y")
+            assert found == 7 and n == 16 and ("é " + text)[start:end].startswith("Under low") and ("é " + text)[start:end].endswith("northern")
+
+
 def test_offsets_lead_back_to_the_original():
     text = "x é " + ITEM.replace("low", "<b>low</b>") + " y"
     ((item, start, end, n),) = C.Scanner([(7, ITEM)]).hits(text)
