@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteweave.functions import geometry
-from noteweave.functions.text import dir_of
 from noteweave.operators import cluster, graph, query, resolve, spatial
 from noteweave.plans.graph_queries import nodes, positions
 from noteweave.session import cut, table
@@ -110,12 +109,14 @@ def layout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _note_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Folders as nodes, links between notes of two folders as edges."""
+    """Living notes and all that link to them as nodes, resolved links between two notes as edges."""
     links = table(spark, d, "links").dropDuplicates(["link_id"])
-    r = resolve.resolved_links(links, table(spark, d, "notes"), table(spark, d, "aliases")).filter("resolved")
-    ends = r.select(F.xxhash64(dir_of(F.col("src_key"))).alias("a"), F.xxhash64(dir_of(F.col("dst_path"))).alias("b"), F.lit(1.0).alias("w"))
+    notes = table(spark, d, "notes")
+    r = resolve.resolved_links(links, notes, table(spark, d, "aliases")).filter("resolved")
+    ends = r.select(F.xxhash64("src_key").alias("a"), F.xxhash64("dst_key").alias("b"), F.lit(1.0).alias("w"))
     e = cut(graph.simple_edges(ends))
-    return e.select(F.explode(F.array("a", "b")).alias("node")).distinct(), e
+    every = resolve.living(notes).select(F.xxhash64("note_key").alias("node")).unionByName(e.select(F.explode(F.array("a", "b")).alias("node")))
+    return cut(every.distinct()), e
 
 
 def communities(spark: SparkSession, d: str) -> DataFrame:

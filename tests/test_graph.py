@@ -197,3 +197,17 @@ def test_probe_and_shapes(spark):
     assert n == 12 and flipped <= 2
     labels = nodes.select("node", F.floor(F.col("node") / 6).alias("label"))
     assert [(r["shape"], r["n"]) for r in G.community_shapes(e, labels).collect()] == [("clique", 2)]
+
+
+def test_note_graph_covers_every_living_note(spark):
+    from noteweave.operators import resolve
+    from noteweave.plans import structure_queries as Q
+    from tests.conftest import DATA
+
+    living = {r[0] for r in resolve.living(spark.read.parquet(f"{DATA}/notes.parquet")).select(F.xxhash64("note_key")).collect()}
+    levels = Q.communities(spark, DATA).filter("level = 0")
+    found = {r.node for r in levels.collect()}
+    assert living <= found and levels.count() == len(found)
+    assert {r.node for r in Q.region_labels(spark, DATA).collect()} == found
+    bottom = Q.coarsening_ladder(spark, DATA).filter("level = 0").first()
+    assert round(bottom.groups * bottom.mean_size) == len(found)
