@@ -236,45 +236,138 @@ def estimated_radius(n: Column, spacing: float = 1.0) -> Column:
     return F.lit(spacing) * F.sqrt(n / math.pi)
 
 
-def force_layout(e: DataFrame, labels: DataFrame, rounds: int = 60, max_nodes: int = 5_000) -> DataFrame:
-    """(node, x, y): territories placed on a spiral, notes inside by springs and repulsion.
+def repulsion(xy, soft: float = 0.05):
+    """Sum of d / (d^2 + soft) from all other points, for each point (LAY2): far cells of a pyramid of
+    grids act by their mean, points of the same and the adjacent finest cells one by one."""
+    import numpy as np
 
-    Each group of labels (node, label) is solved by one task; a group above
-    ``max_nodes`` keeps the spiral alone. Deterministic.
-    """
+    n = len(xy)
+    low = xy.min(0)
+    side = max((xy.max(0) - low).max(), 1e-9) * (1 + 1e-9)
+    depth = 2
+    while True:
+        m = 1 << depth
+        fine = np.minimum(((xy - low) / side * m).astype(np.int64), m - 1)
+        count = np.bincount(fine[:, 0] * m + fine[:, 1], minlength=m * m)
+        if (count.astype(float) ** 2).sum() <= 8 * n or m * m > 4 * n:
+            break
+        depth += 1
+    out = np.zeros_like(xy)
+    for level in range(2, depth + 1):
+        m = 1 << level
+        at = fine >> (depth - level)
+        key = at[:, 0] * m + at[:, 1]
+        held = np.bincount(key, minlength=m * m)
+        mean = np.stack([np.bincount(key, xy[:, i], m * m) for i in (0, 1)], 1) / np.maximum(held, 1)[:, None]
+        for ox in range(-2, 4):
+            for oy in range(-2, 4):
+                to = (at >> 1) * 2 + (ox, oy)
+                far = (np.abs(to - at).max(1) > 1) & (to.min(1) >= 0) & (to.max(1) < m)
+                i = np.flatnonzero(far)
+                k = to[i, 0] * m + to[i, 1]
+                d = xy[i] - mean[k]
+                out[i] += d * (held[k] / ((d**2).sum(1) + soft))[:, None]
+    m = 1 << depth
+    key = fine[:, 0] * m + fine[:, 1]
+    order = np.argsort(key, kind="stable")
+    start = np.concatenate([[0], np.cumsum(count)])
+    for ox in (-1, 0, 1):
+        for oy in (-1, 0, 1):
+            to = fine + (ox, oy)
+            i = np.flatnonzero((to.min(1) >= 0) & (to.max(1) < m))
+            k = to[i, 0] * m + to[i, 1]
+            ends = np.cumsum(count[k])
+            first = 0
+            while first < len(i):  # about 2 M pairs at once
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 2_000_000, "right")))
+                c = count[k[first:last]]
+                s = np.repeat(i[first:last], c)
+                t = order[np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(start[k[first:last]], c)]
+                d = xy[s] - xy[t]
+                d /= ((d**2).sum(1) + soft)[:, None]
+                out[:, 0] += np.bincount(s, d[:, 0], n)
+                out[:, 1] += np.bincount(s, d[:, 1], n)
+                first = last
+    return out
+
+
+def _inside(e: DataFrame, labels: DataFrame, rounds: int, most: int) -> DataFrame:
+    """(label, node, dx, dy): each group of labels (label, node) solved about its own centre."""
     import numpy as np
 
-    la, lb = labels.withColumnsRenamed({"node": "a", "label": "label"}), labels.withColumnsRenamed({"node": "b", "label": "lb"})
-    inner = e.join(la, "a").join(lb, "b").filter("label = lb").select("label", F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v"))
-    rows = labels.select("label", F.col("node").cast("long").alias("u"), F.lit(None).cast("long").alias("v")).unionByName(inner)
-    order = labels.groupBy("label").agg(F.count(F.lit(1)).alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.orderBy(F.col("k").desc(), "label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per group
     turn = 2.399963229728653  # golden angle
-    place = order.withColumn("i", F.sqrt(before + F.col("k") / 2)).withColumn("j", F.row_number().over(Window.orderBy(F.col("k").desc(), "label")))
-    place = place.select("label", (F.col("i") * F.cos(F.col("j") * turn) * 1.6).alias("cx"), (F.col("i") * F.sin(F.col("j") * turn) * 1.6).alias("cy"))
+    size = cut(labels.groupBy("label").agg(F.count(F.lit(1)).alias("k")))
+    large = not size.filter(F.col("k") > most).isEmpty()
+    if large:
+        rank = F.row_number().over(Window.partitionBy("label").orderBy("node")) - 1
+        part = F.xxhash64("label", F.when(F.col("k") > most, F.floor(F.col("r") / most)).otherwise(F.lit(0)))
+        of = cut(labels.withColumn("r", rank).join(size, "label").select("label", "node", part.alias("part"), "k"))
+    else:
+        of = labels.select("label", "node", F.col("label").alias("part"))
+    la, lb = of.select(F.col("node").alias("a"), "label", F.col("part").alias("pa")), of.select(F.col("node").alias("b"), F.col("label").alias("lb"), F.col("part").alias("pb"))
+    inner = e.select("a", "b").join(la, "a").join(lb, "b").filter("label = lb").select("label", F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v"), "pa", "pb")
+    none = F.lit(None).cast("double")
+    own = F.col("node").cast("long")
+    rows = of.select("label", "part", F.lit("node").alias("kind"), own.alias("u"), own.alias("v"), none.alias("ax"), none.alias("ay"))  # no NULL in v, or pandas makes it a float
+    rows = rows.unionByName(inner.filter("pa = pb").select("label", F.col("pa").alias("part"), F.lit("link").alias("kind"), "u", "v", none.alias("ax"), none.alias("ay")))
+    if large:
+        across = cut(inner.filter("pa <> pb"))
+        between = across.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        spread = 2.0 * math.sqrt(most)
+        mid = _inside(between, of.filter(F.col("k") > most).select("label", F.col("part").alias("node")).distinct(), rounds, most)
+        mid = cut(mid.select(F.col("node").alias("part"), (F.col("dx") * spread).alias("mx"), (F.col("dy") * spread).alias("my")))
+        to = mid.withColumnsRenamed({"part": "other", "mx": "ox", "my": "oy"})
+        ends = F.array(F.struct(F.col("u"), F.col("pa").alias("part"), F.col("pb").alias("other")), F.struct(F.col("v").alias("u"), F.col("pb").alias("part"), F.col("pa").alias("other")))
+        pulled = across.select("label", F.explode(ends).alias("x")).select("label", "x.*").join(mid, "part").join(to, "other")
+        rows = rows.unionByName(pulled.select("label", "part", F.lit("outer").alias("kind"), "u", F.col("u").alias("v"), (F.col("ox") - F.col("mx")).alias("ax"), (F.col("oy") - F.col("my")).alias("ay")))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(pdf.u[pdf.v.isna()].unique())
+        ids = np.sort(pdf.u[pdf.kind == "node"].unique())
         n = len(ids)
         i = np.arange(n)
         xy = np.stack([np.sqrt(i + 0.5) * np.cos(i * turn), np.sqrt(i + 0.5) * np.sin(i * turn)], 1)
-        link = pdf.dropna()
-        if 1 < n <= max_nodes and len(link):
-            s, t = np.searchsorted(ids, link.u.to_numpy()), np.searchsorted(ids, link.v.to_numpy().astype(np.int64))
+        link, out = pdf[pdf.kind == "link"], pdf[pdf.kind == "outer"]
+        if n > 1 and len(link) + len(out):
+            s, t = np.searchsorted(ids, link.u.to_numpy()), np.searchsorted(ids, link.v.to_numpy())
+            o, goal = np.searchsorted(ids, out.u.to_numpy()), out[["ax", "ay"]].to_numpy()
+            goal = goal * np.minimum(1.0, np.sqrt(n) / np.maximum(np.linalg.norm(goal, axis=1, keepdims=True), 1e-9))  # no farther than the rim
+            stride = max(1.0, math.sqrt(n) / 40)  # of a larger disc, nodes have farther to go
             for r in range(rounds):
-                d = xy[:, None] - xy[None] if n <= 1500 else None
-                move = np.zeros_like(xy)
-                if d is not None:
-                    move += (d / ((d**2).sum(2) + 0.05)[..., None]).sum(1) * 0.3
+                move = repulsion(xy) * 0.3
                 pull = xy[t] - xy[s]
                 np.add.at(move, s, pull * 0.1)
                 np.add.at(move, t, -pull * 0.1)
+                np.add.at(move, o, (goal - xy[o]) * 0.1)
                 step = np.linalg.norm(move, axis=1, keepdims=True)
-                xy += move / np.maximum(step, 1e-9) * np.minimum(step, 1.0 - r / rounds)
+                xy += move / np.maximum(step, 1e-9) * np.minimum(step, stride * (1.0 - r / rounds))
             xy -= xy.mean(0)
             far = np.linalg.norm(xy, axis=1).max()
             xy *= np.sqrt(n) / max(far, 1e-9)
-        return pd.DataFrame({"label": pdf.label.iloc[0], "node": ids, "dx": xy[:, 0], "dy": xy[:, 1]})
+        return pd.DataFrame({"label": pdf.label.iloc[0], "part": pdf.part.iloc[0], "node": ids, "dx": xy[:, 0], "dy": xy[:, 1]})
+
+    solved = rows.groupBy("part").applyInPandas(solve, "label long, part long, node long, dx double, dy double")
+    if not large:
+        return solved.drop("part")
+    whole = solved.join(mid, "part", "left").select("label", "node", (F.col("dx") + F.coalesce("mx", F.lit(0.0))).alias("dx"), (F.col("dy") + F.coalesce("my", F.lit(0.0))).alias("dy"))
+    whole = cut(whole)
+    reach = whole.groupBy("label").agg(F.max(F.hypot("dx", "dy")).alias("far")).join(size, "label")
+    scale = F.when(F.col("k") > most, F.sqrt("k") / F.col("far")).otherwise(1.0)
+    return whole.join(reach, "label").select("label", "node", (F.col("dx") * scale).alias("dx"), (F.col("dy") * scale).alias("dy"))
 
-    inside = rows.groupBy("label").applyInPandas(solve, "label long, node long, dx double, dy double")
+
+def force_layout(e: DataFrame, labels: DataFrame, rounds: int = 60, most: int = 50_000) -> DataFrame:
+    """(node, x, y): territories placed on a spiral, notes inside by springs and repulsion.
+
+    Each group of labels (node, label) is solved by one task. A group above
+    ``most`` nodes is first split by id into parts of as many; the parts are
+    placed by the same solve over the links between them, then each part is
+    solved with its outer links pulling towards the centres of their parts.
+    Deterministic.
+    """
+    order = labels.groupBy("label").agg(F.count(F.lit(1)).alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.orderBy(F.col("k").desc(), "label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per group
+    turn = 2.399963229728653  # golden angle
+    place = order.withColumn("i", F.sqrt(before + F.col("k") / 2)).withColumn("j", F.row_number().over(Window.orderBy(F.col("k").desc(), "label")))
+    place = place.select("label", (F.col("i") * F.cos(F.col("j") * turn) * 1.6).alias("cx"), (F.col("i") * F.sin(F.col("j") * turn) * 1.6).alias("cy"))
+    inside = _inside(e, labels, rounds, most)
     return inside.join(place, "label").select("node", (F.col("cx") + F.col("dx")).alias("x"), (F.col("cy") + F.col("dy")).alias("y"))

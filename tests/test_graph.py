@@ -181,6 +181,32 @@ def test_layout_is_repeatable(spark):
     assert len(set(a.values())) == 144 and a == {r.node: (round(r.x, 6), round(r.y, 6)) for r in S.force_layout(e, labels).collect()}
 
 
+def test_layout_solves_groups_of_any_size(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    xy = np.concatenate([rng.normal(0, 9, (400, 2)), rng.normal(30, 0.5, (400, 2))])
+    d = xy[:, None] - xy[None]
+    plain = (d / ((d**2).sum(2) + 0.05)[..., None]).sum(1)
+    off = np.linalg.norm(S.repulsion(xy) - plain, axis=1) / np.linalg.norm(plain, axis=1).mean()
+    assert np.median(off) < 0.03 and off.max() < 0.3
+    n = 5200
+    e = spark.createDataFrame([(i, i // 2, 1.0) for i in range(1, n)], "a long, b long, w double")
+    labels = spark.range(n).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("label"))
+
+    def shape(**more):
+        at = {r.node: (r.x, r.y) for r in S.force_layout(e, labels, **more).collect()}
+        p = np.array([at[i] for i in range(n)])
+        return np.linalg.norm(p[1:] - p[np.arange(1, n) // 2], axis=1).mean(), len(set(map(tuple, p.round(4)))), len(at)
+
+    i = np.arange(n)
+    spiral = np.sqrt(i + 0.5)[:, None] * np.stack([np.cos(i * 2.399963229728653), np.sin(i * 2.399963229728653)], 1)
+    spiral = np.linalg.norm(spiral[1:] - spiral[i[1:] // 2], axis=1).mean()
+    for more in ({}, {"most": 1000}):
+        length, places, found = shape(**more)
+        assert found == n == places and length < 0.8 * spiral
+
+
 def test_spiral_is_a_walk(spark):
     from noteweave.functions import geometry
 
