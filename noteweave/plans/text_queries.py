@@ -155,6 +155,12 @@ def outline_items(spark: SparkSession, d: str) -> DataFrame:
     return items.filter("note_key LIKE 'supplier/%'").select("note_key", "item", "kind", "parent", "level", "text", "line", "ordinal")
 
 
+def outline_items_all(spark: SparkSession, d: str) -> DataFrame:
+    """Items of every note; outline_items has those its SQL knows."""
+    items, _ = _items(spark, d)
+    return items.select("note_key", "item", "kind", "parent", "level", "text", "line", "ordinal")
+
+
 def outline_edges(spark: SparkSession, d: str) -> DataFrame:
     items, _ = _items(spark, d)
     return items.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("parent") > 0).cast("long")).alias("below_heading"), F.sum("weight").alias("weight"))
@@ -166,24 +172,31 @@ def heading_lines(spark: SparkSession, d: str) -> DataFrame:
     return outline.heading_lines(asked, parse.child(n, "headings"))
 
 
+def heading_lines_all(spark: SparkSession, d: str) -> DataFrame:
+    """Asked of every note; heading_lines asks those its SQL knows."""
+    n = _shop(spark, d)
+    asked = n.select("note_key", F.explode(F.array(F.lit("LEDGER"), F.lit("ledger"), F.lit("nowhere"))).alias("heading"))
+    return outline.heading_lines(asked, parse.child(n, "headings"))
+
+
 def complete_headings(spark: SparkSession, d: str) -> DataFrame:
     return query.complete_headings(parse.child(_shop(spark, d), "headings"), "supplier/Supplier-000000001.md", "Dg", 10)
 
 
 def shop_backlinks(spark: SparkSession, d: str) -> DataFrame:
-    """Backlinks of every region and nation note of the shop vault, parsed and resolved."""
+    """Backlinks of every note of the shop vault, parsed and resolved."""
     scanned = _shop(spark, d)
     notes = scanned.select("note_key", F.col("note_key").alias("path"), T.stem_of(F.col("note_key")).alias("stem"), F.lit(True).alias("alive"), F.lit(False).alias("phantom"))
     aliases = scanned.select("note_key", F.explode("aliases").alias("alias"))
     links = parse.child(scanned, "links").select(F.col("note_key").alias("src_key"), "ord", "raw")
-    r = resolve.resolved_links(links, notes, aliases).filter("resolved AND (dst_key LIKE 'nation/%' OR dst_key LIKE 'region/%')")
+    r = resolve.resolved_links(links, notes, aliases).filter("resolved")
     return r.groupBy("dst_key").agg(F.count(F.lit(1)).alias("n_links"), F.count_distinct("src_key").alias("n_sources"))
 
 
 QUERIES = {f.__name__: f for f in (
     path_functions, link_targets, candidate_names, resolve_names, resolve_paths, resolve_links, resolve_ambiguous, link_status, phantoms, note_counts,
     backlinks, backlink_groups, backlink_filter, complete_notes, completion_items, outbound, note_edges,
-    scan_notes, scan_headings, scan_tags, scan_blocks, scan_links, outline_items, outline_edges, heading_lines, complete_headings, shop_backlinks,
+    scan_notes, scan_headings, scan_tags, scan_blocks, scan_links, outline_items, outline_items_all, outline_edges, heading_lines, heading_lines_all, complete_headings, shop_backlinks,
 )}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
