@@ -75,6 +75,11 @@ def hub_fragility(spark: SparkSession, d: str) -> DataFrame:
     return G.hub_fragility(nodes(spark, d), cut(_e(spark, d)), (1, 5, 25))
 
 
+def hub_fragility_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every K of the report; hub_fragility has those its SQL knows."""
+    return G.hub_fragility(nodes(spark, d), cut(_e(spark, d)))
+
+
 def folder_correlation(spark: SparkSession, d: str) -> DataFrame:
     return G.folder_correlation(_paths(spark, d), components(spark, d))
 
@@ -179,7 +184,7 @@ def displacement(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    edges_undirected, edge_directions, degrees, degree_summary, power_law, clustering, components, component_report, component_histogram, hub_fragility,
+    edges_undirected, edge_directions, degrees, degree_summary, power_law, clustering, components, component_report, component_histogram, hub_fragility, hub_fragility_all,
     folder_correlation, degree_norm_edges, path_chain, orphan_drawer, modularity, contracted, dense_labels, partition_overlap, graph_stats, shape_class,
     bipartite, cocitation, missing_edge, cross_folder_links, neighbourhood, link_spread, bimodality, highways, procrustes, displacement,
 )}

@@ -93,8 +93,9 @@ def lod_links(spark: SparkSession, d: str) -> DataFrame:
     from noteweave.plans.graph_queries import position_edges
 
     t = _tree(spark, d)
-    of = spatial.cut_of_notes(t, spatial.lod_cut(t, 100.0, 8.0, 400))
-    return spatial.lifted_links(position_edges(spark, d), of, 200)
+    shown = cut(spatial.lod_cut(t, 100.0, 8.0, 400))
+    budget = shown.agg(geometry.link_budget(F.count(F.lit(1))).alias("k")).first()["k"]
+    return spatial.lifted_links(position_edges(spark, d), spatial.cut_of_notes(t, shown), budget)
 
 
 def resolve_zoom(spark: SparkSession, d: str) -> DataFrame:
