@@ -4,7 +4,8 @@ Distinct values are normalised, candidates are retrieved through an inverted
 index of character n-grams, scored by cosine with inverse-frequency weights,
 and the best is accepted above a threshold and a margin over the next entry.
 An exact check of the words then confirms that the value spells the name and
-does not merely share words with it.
+does not merely share words with it. The cosine is over words, whose likeness
+(typing errors, sounds, abbreviations) is measured letter by letter.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from pyspark.sql import functions as F
 
 from noteweave.functions.lookalike import plain
 from noteweave.functions.text import percent_decode
+from noteweave.session import cut
 
 #: Names of an index that is sent to the workers whole; a longer list is joined by n-gram.
-MAX_NAMES = 200_000
-THRESHOLD = 0.20
-#: Least share of a name, by weight of its words, that a value has to spell.
-SPELLING = 0.65
+MAX_NAMES = 20_000
+#: Least cosine of n-grams at which a name becomes a candidate.
+NEAR = 0.20
+#: Least weighted cosine of words at which a candidate is accepted, and its lead over the next entry.
+THRESHOLD = 0.65
 MARGIN = 0.02
 GRAM = 3
 
@@ -35,7 +38,9 @@ GRAM = 3
 NOISE = frozenset("the a an of see re cf todo page pages note notes draft link links file wiki article md top later vs about de la le el der die das und and old_ copy new_ fwd check ref refs".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ])")
-_FUSED = re.compile(r"(?<=[a-zà-öø-ÿ])(?:of|oph)(?=[A-ZÀ-ÖØ-Þ])")
+# Small words between the words of a name.
+CONNECTIVES = ("of", "the", "de", "du", "des", "del", "von", "der")
+_FUSED = re.compile(r"(?<=[a-zà-öø-ÿ])of(?=[A-ZÀ-ÖØ-Þ])")
 _SLIPPED = re.compile(r"(?<=[a-zà-öø-ÿ])([A-ZÀ-ÖØ-Þ])[ ]+(?=[a-zà-öø-ÿ])")
 _EXT = re.compile(r"(?i)\.(?:md|markdown|txt|html?)\b")
 _FOLDS = (("ph", "f"), ("ck", "k"), ("c", "k"), ("q", "k"), ("th", "t"), ("z", "s"), ("y", "i"), ("w", "v"))
@@ -111,10 +116,16 @@ def _abbreviates(name: str, value: str) -> float:
     return 0.7 if any(t[0] == name[0] and _in_order(t, name) for t in tries) else 0.0
 
 
+_CONNECTIVE_SOUNDS = frozenset(map(_sound, CONNECTIVES))
+
+
 @lru_cache(20_000)
-def _is_noise(word: str) -> bool:
-    """A word around names, or a short one with a typing error."""
-    return word in NOISE or (len(word) <= 4 and (_sound(word) in ("of", "te") or any(abs(len(word) - len(w)) <= 1 and edits(w, word) <= 1 for w in ("the", "of", "oph"))))
+def _is_connective(word: str) -> bool:
+    """A short word that sounds like a connective, as it stands or after one typing error."""
+    if len(word) > 4:
+        return False
+    slips = [word, *(word[:i] + word[i + 1 :] for i in range(len(word)) if len(word) > 2)]
+    return any(_sound(s) in _CONNECTIVE_SOUNDS for s in slips) or any(abs(len(word) - len(w)) <= 1 and edits(w, word) <= 1 for w in ("the", "of"))
 
 
 @lru_cache(200_000)
@@ -143,24 +154,95 @@ def _alike(name: str, value: str) -> float:
     return best
 
 
+@lru_cache(50_000)
+def _alone(word: str, noise: frozenset[str]) -> bool:
+    return word in noise or _is_connective(word)
+
+
+def stripped(words: list[str], noise: frozenset[str] = NOISE) -> list[str]:
+    """The words of a name without those that only stand around names; all of them if nothing else is left."""
+    return [w for w in words if w not in noise] or words
+
+
+def compare(name: list[str], words: list[str], weight: dict[str, float], rare: float, noise: frozenset[str] = NOISE) -> tuple[float, bool]:
+    """(weighted cosine of a value and a name, whether the value spells just this name).
+
+    Both are vectors over words with inverse-frequency weights. A word of the
+    value that spells a word of the name falls on the same axis, times its
+    likeness; every other word has an axis of its own, so what is missing and
+    what is left over both lower the cosine. Words typed as one, or parted,
+    are compared as a whole. The second value is the exact check: nothing of
+    the name is missing and no other word is left over.
+    """
+    left = [w for w in words if w in name or not _alone(w, noise)]
+    if not left:
+        return 0.0, False
+    size = dot = lost = 0.0
+    used: set[int] = set()
+    for w in sorted(name, key=lambda w: -weight.get(w, rare)):
+        best, at = 0.0, -1
+        for j, v in enumerate(left):
+            if j in used:
+                continue
+            a = _alike(w, v)
+            if not a and j == len(left) - 1 and len(name) > 1 and w.startswith(v):
+                a = 0.75  # cut off while typing
+            if a > best:
+                best, at = a, j
+        square = weight.get(w, rare) ** 2
+        size += square
+        if best >= 0.6:
+            used.add(at)
+            dot += square * best
+        else:
+            lost += square
+    extra = [v for j, v in enumerate(left) if j not in used and len(v) > 1]
+    spelt = not extra and not lost
+    other = size - lost + sum(weight.get(v, rare) ** 2 for v in extra)
+    cosine = dot / math.sqrt(size * other) if dot else 0.0
+    whole, joined = "".join(name), "".join(left)
+    if (not spelt or cosine < 0.9) and len(left) != len(name) and len(whole) >= 6 and abs(len(whole) - len(joined)) <= 3 + len(whole) // 8:
+        d = edits(whole, joined)
+        if d <= max(1, len(whole) // 5) and (not spelt or 1 - d / len(whole) > cosine):
+            cosine, spelt = 1 - d / len(whole), True
+    return round(cosine, 9), spelt
+
+
+Match = tuple[int, float, float]
+
+
+def decide(words: list[str], found: list[tuple[int, list[str]]], weight: dict[str, float], rare: float, threshold: float = THRESHOLD, margin: float = MARGIN, noise: frozenset[str] = NOISE) -> Match | None:
+    """(entry, cosine, margin) of the entry the words mean among the (entry, name) candidates, or None.
+
+    The entry of the highest weighted cosine is accepted if that reaches the
+    threshold, leads the next entry the value might spell by the margin, and
+    the exact check holds.
+    """
+    best: dict[int, tuple[float, bool]] = {}
+    for entry, name in found:
+        this = compare(name, words, weight, rare, noise)
+        if this > best.get(entry, (0.0, False)):
+            best[entry] = this
+    if not best:
+        return None
+    ranked = sorted(best.items(), key=lambda t: (-t[1][0], -t[1][1], t[0]))
+    entry, (cosine, spelt) = ranked[0]
+    gap = round(cosine - ranked[1][1][0], 9) if len(ranked) > 1 else 1.0
+    return (entry, cosine, gap) if cosine >= threshold and gap >= margin and spelt else None
+
+
 class Index:
-    """Inverted n-gram index over (entry, name) pairs."""
-
-    def __init__(self, pairs: list[tuple[int, str]]):
-        seen: dict[tuple[int, str], list[str]] = {}
-        for entry, name in pairs:
-            words = ascii_words(name)
-            if words:
-                seen.setdefault((entry, " ".join(words)), words)
+    """Inverted n-gram index over (entry, name) pairs, with the weights of grams and words over all of them."""
+
+    def __init__(self, pairs: list[tuple[int, str]], noise: frozenset[str] = NOISE):
+        self.noise = noise
+        seen = sorted({(entry, " ".join(stripped(words, noise))) for entry, name in pairs if (words := ascii_words(name))})
         self.entries = [e for e, _ in seen]
-        self.names = [[w for w in words if w not in NOISE] or words for words in seen.values()]
-        counts = Counter(g for words in self.names for g in set(grams(words)))
-        n = max(1, len(self.names))
-        self.idf = {g: math.log(1 + n / k) for g, k in counts.items()}
-        self.rare = math.log(1 + n)
-        of_words = Counter(w for words in self.names for w in set(words))
-        self.weight = {w: math.log(1 + n / k) for w, k in of_words.items()}
-        self.vocabulary = set(of_words)
+        self.names = [name.split(" ") for _, name in seen]
+        self.n = max(1, len(seen))
+        self.rare = math.log(1 + self.n)
+        self.idf = {g: math.log(1 + self.n / k) for g, k in Counter(g for words in self.names for g in grams(words)).items()}
+        self.weight = {w: math.log(1 + self.n / k) for w, k in Counter(w for words in self.names for w in set(words)).items()}
         self.postings: dict[str, list[tuple[int, float]]] = {}
         for i, words in enumerate(self.names):
             vector = {g: self.idf[g] * (1 + math.log(k)) for g, k in grams(words).items()}
@@ -168,79 +250,32 @@ class Index:
             for g, x in vector.items():
                 self.postings.setdefault(g, []).append((i, x / norm))
 
-    def retrieve(self, words: list[str], threshold: float = THRESHOLD) -> list[tuple[float, int]]:
-        """(cosine, name) of every name at or above the threshold, best first."""
+    def retrieve(self, words: list[str], near: float = NEAR) -> list[tuple[float, int]]:
+        """(n-gram cosine, name) of every name at or above ``near``, best first."""
         vector = {g: self.idf.get(g, self.rare) * (1 + math.log(n)) for g, n in grams(words).items()}
         norm = math.sqrt(sum(x * x for x in vector.values()))
         scores: dict[int, float] = {}
         for g, x in vector.items():
             for i, y in self.postings.get(g, ()):
                 scores[i] = scores.get(i, 0.0) + x * y
-        return sorted(((s / norm, i) for i, s in scores.items() if s >= threshold * norm), key=lambda t: (-t[0], t[1]))
-
-    def spells(self, i: int, words: list[str]) -> float:
-        """The exact check: how well ``words`` spell name ``i``, 0 if they name something else."""
-        name = self.names[i]
-        left = [w for w in words if w in name or not _is_noise(w)]
-        if not left:
-            return 0.0
-        total = got = 0.0
-        lost = 0.0
-        used: set[int] = set()
-        for w in sorted(name, key=lambda w: -self.weight[w]):
-            best, at = 0.0, -1
-            for j, v in enumerate(left):
-                if j in used:
-                    continue
-                a = _alike(w, v)
-                if not a and j == len(left) - 1 and len(name) > 1 and w.startswith(v):
-                    a = 0.75  # cut off while typing
-                if a > best:
-                    best, at = a, j
-            total += self.weight[w]
-            if best >= 0.6:
-                used.add(at)
-                got += self.weight[w] * best
-            else:
-                lost += self.weight[w]
-        extra = [v for j, v in enumerate(left) if j not in used and len(v) > 1]
-        score = 0.0 if extra or lost else got / total
-        whole, joined = "".join(name), "".join(left)
-        if score < 0.9 and len(left) != len(name) and len(whole) >= 6 and abs(len(whole) - len(joined)) <= 3 + len(whole) // 8:
-            d = edits(whole, joined)
-            if d <= max(1, len(whole) // 5):
-                score = max(score, 1 - d / len(whole))
-        return score
-
-    def match(self, value: str | None, threshold: float = THRESHOLD, margin: float = MARGIN) -> tuple[int, float, float, float] | None:
-        """(entry, cosine, spelling, margin) of the entry ``value`` means, or None."""
+        return sorted(((c, i) for i, s in scores.items() if (c := round(s / norm, 9)) >= near), key=lambda t: (-t[0], t[1]))
+
+    def match(self, value: str | None, threshold: float = THRESHOLD, margin: float = MARGIN) -> Match | None:
+        """(entry, cosine, margin) of the entry ``value`` means, or None."""
         words = ascii_words(value or "")
-        if sum(map(len, words)) < 3:
-            return None
-        return self.decide(words, self.retrieve(words, threshold), margin)
-
-    def decide(self, words: list[str], found: list[tuple[float, int]], margin: float = MARGIN) -> tuple[int, float, float, float] | None:
-        """The best candidate that passes the exact check with a margin over the next entry."""
-        best: dict[int, tuple[float, float]] = {}
-        for cosine, i in found:
-            score = self.spells(i, words)
-            if score and (score, cosine) > best.get(self.entries[i], (0.0, 0.0)):
-                best[self.entries[i]] = (score, cosine)
-        if not best:
+        if not words:
             return None
-        ranked = sorted(best.items(), key=lambda t: (-t[1][0], -t[1][1], t[0]))
-        entry, (score, cosine) = ranked[0]
-        gap = score - ranked[1][1][0] if len(ranked) > 1 else 1.0
-        return (entry, cosine, score, gap) if score >= SPELLING and gap >= margin else None
+        found = [(self.entries[i], self.names[i]) for _, i in self.retrieve(words)]
+        return decide(words, found, self.weight, self.rare, threshold, margin, self.noise)
 
 
-_OUT = "value string, entry bigint, cosine double, spelling double, margin double"
+_OUT = "value string, entry bigint, cosine double, margin double"
 
 
-def _decided(rows: list[tuple[str, tuple[int, float, float, float] | None]]) -> pa.RecordBatch:
-    cols = list(zip(*[(v, *(m or (None,) * 4)) for v, m in rows], strict=True)) if rows else [()] * 5
-    kinds = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["value", "entry", "cosine", "spelling", "margin"])
+def _decided(rows: list[tuple[str, Match | None]]) -> pa.RecordBatch:
+    cols = list(zip(*[(v, *(m or (None,) * 3)) for v, m in rows], strict=True)) if rows else [()] * 4
+    kinds = [pa.string(), pa.int64(), pa.float64(), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["value", "entry", "cosine", "margin"])
 
 
 def _names(reference: DataFrame, key: str, title: str, aliases: str) -> DataFrame:
@@ -248,45 +283,60 @@ def _names(reference: DataFrame, key: str, title: str, aliases: str) -> DataFram
     return reference.select(F.col(key).cast("long").alias("entry"), F.explode(every).alias("name")).filter("name IS NOT NULL AND trim(name) <> ''").distinct()
 
 
-def _joined(values: DataFrame, names: DataFrame, threshold: float, margin: float) -> DataFrame:
-    """The same decisions for a list too long to send about: index and values meet by n-gram."""
+def _joined(values: DataFrame, names: DataFrame, threshold: float, margin: float, noise: frozenset[str]) -> DataFrame:
+    """The same decisions for a list too long to send about: index, weights and values meet by n-gram and word."""
+
+    def normal(strip: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words = [ascii_words(t) for t in batch.column(1).to_pylist()]
+                there = [i for i, w in enumerate(words) if w]
+                text = [" ".join(stripped(words[i], noise) if strip else words[i]) for i in there]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(there, pa.int64())), pa.array(text, pa.string())], [batch.schema.names[0], "words"])
+
+        return run
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(*key, g, 1 + math.log(n)) for *key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if sum(map(len, words := ascii_words(text))) >= 3 or len(key) > 1 for g, n in grams([w for w in words if w not in NOISE] or words if len(key) > 1 else words).items()]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * (batch.num_columns + 1)
-            types = [*batch.schema.types[:-1], pa.string(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [*batch.schema.names[:-1], "g", "tf"])
-
-    n = names.count()
-    index = names.select("entry", "name", F.col("name").alias("text")).mapInArrow(split, "entry bigint, name string, g string, tf double")
-    idf = index.groupBy("g").agg(F.log(1 + F.lit(n) / F.count(F.lit(1))).alias("idf"))
-    index = index.join(idf, "g").withColumn("x", F.col("tf") * F.col("idf"))
-    norms = index.groupBy("entry", "name").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    index = index.join(norms, ["entry", "name"]).select("g", "entry", "name", (F.col("x") / F.col("norm")).alias("y"))
-    asked = values.select("value", F.col("value").alias("text")).mapInArrow(split, "value string, g string, tf double")
-    asked = asked.join(idf, "g", "left").select("value", "g", (F.col("tf") * F.coalesce("idf", F.log(F.lit(1 + n)))).alias("x"))
-    length = asked.groupBy("value").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    scored = asked.join(index, "g").groupBy("value", "entry", "name").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    near = scored.join(length, "value").filter(F.col("s") >= threshold * F.col("norm"))
-    near = near.groupBy("value").agg(F.collect_list(F.struct("entry", "name", (F.col("s") / F.col("norm")).alias("cosine"))).alias("near"))
+            rows = [(i, g, 1 + math.log(n)) for i, text in enumerate(batch.column(1).to_pylist()) for g, n in grams(text.split(" ")).items()]
+            at, g, tf = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), pa.array(g, pa.string()), pa.array(tf, pa.float64())], [*batch.schema.names, "g", "tf"])
+
+    index = cut(names.select("entry", "name").mapInArrow(normal(True), "entry bigint, words string").distinct())
+    asked = values.select("value", F.col("value").alias("text")).mapInArrow(normal(False), "value string, words string")
+    n = max(1, index.count())
+    rare = math.log(1 + n)
+    parts = index.select("entry", "words", F.explode(F.array_distinct(F.split("words", " "))).alias("w"))
+    weights = parts.groupBy("w").agg(F.log(1 + F.lit(n) / F.count(F.lit(1))).alias("weight"))
+    table = lambda *keys: F.map_from_entries(F.collect_list(F.struct("w", "weight"))).alias(keys[0])
+    of_name = parts.join(weights, "w").groupBy("entry", "words").agg(table("of_name"))
+    of_value = asked.select("value", F.explode(F.array_distinct(F.split("words", " "))).alias("w")).join(weights, "w").groupBy("value").agg(table("of_value"))
+
+    posted = index.mapInArrow(split, "entry bigint, words string, g string, tf double")
+    idf = posted.groupBy("g").agg(F.log(1 + F.lit(n) / F.count(F.lit(1))).alias("idf"))
+    posted = posted.join(idf, "g").withColumn("x", F.col("tf") * F.col("idf"))
+    norms = posted.groupBy("entry", "words").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    posted = posted.join(norms, ["entry", "words"]).select("g", "entry", "words", (F.col("x") / F.col("norm")).alias("y"))
+    sought = asked.mapInArrow(split, "value string, words string, g string, tf double")
+    sought = sought.join(idf, "g", "left").select("value", "g", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("x"))
+    length = sought.groupBy("value").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    scored = sought.join(posted, "g").groupBy("value", "entry", "words").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    close = scored.join(length, "value").filter(F.round(F.col("s") / F.col("norm"), 9) >= NEAR).join(of_name, ["entry", "words"])
+    close = close.groupBy("value").agg(F.collect_list(F.struct("entry", "words", "of_name")).alias("close"))
+    ready = asked.join(close, "value").join(of_value, "value", "left").select("value", "words", "close", "of_value")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for value, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = sorted(found or [], key=lambda f: (-f["cosine"], f["entry"], f["name"]))
-                local = Index([(f["entry"], f["name"]) for f in found])
-                spelt = {(e, " ".join(w)): i for i, (e, w) in enumerate(zip(local.entries, local.names, strict=True))}
-                cosines = {}
+            for value, words, found, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                weight = dict(known or ())
                 for f in found:
-                    words = ascii_words(f["name"])
-                    at = spelt[f["entry"], " ".join([w for w in words if w not in NOISE] or words)]
-                    cosines[at] = max(cosines.get(at, 0.0), f["cosine"])
-                rows.append((value, local.decide(ascii_words(value), [(c, i) for i, c in cosines.items()], margin)))
+                    weight.update(f["of_name"])
+                near = sorted((f["entry"], f["words"].split(" ")) for f in found)
+                rows.append((value, decide(words.split(" "), near, weight, rare, threshold, margin, noise)))
             yield _decided(rows)
 
-    return values.select("value").join(near, "value", "left").mapInArrow(check, _OUT)
+    return values.select("value").join(ready.mapInArrow(check, _OUT), "value", "left")
 
 
 def map_values(
@@ -299,41 +349,44 @@ def map_values(
     threshold: float = THRESHOLD,
     margin: float = MARGIN,
     max_names: int = MAX_NAMES,
+    noise: frozenset[str] = NOISE,
 ) -> DataFrame:
-    """(value, n_rows, entry, cosine, spelling, margin): every distinct value and the entry it means.
+    """(value, n_rows, entry, cosine, margin): every distinct value and the entry it means.
 
     Unmatched values, NULL and blank ones among them, are reported with a NULL
-    entry. A value is matched if a name of the entry reaches the cosine
-    threshold, the words of the value spell that name (misspelt, shortened or
-    decorated, but nothing of weight missing and no other word left over), and
-    no other entry is spelt as well within the margin: ties match nothing.
-    Entries with NULL or no aliases have their title alone; repeated rows of
-    either table change only n_rows. Of both tables only the named columns are
-    read.
+    entry. The entry of the highest weighted cosine is taken if the cosine
+    reaches ``threshold``, leads the next entry the value spells by ``margin``
+    (ties match nothing), and the exact check holds: nothing of the name is
+    missing from the value and no other word is left over. ``noise`` names
+    words that stand around names and count for nothing. Entries with NULL or
+    no aliases have their title alone; repeated rows of either table change
+    only n_rows. Of both tables only the named columns are read.
 
     The names are counted first. Up to ``max_names`` the index goes to the
-    workers; a longer list is joined by n-gram instead.
+    workers; a longer list is joined by n-gram instead. Weights come from all
+    names either way, so both give the same rows.
     """
     spark = values.sparkSession
     distinct = values.groupBy(F.col(raw).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
     names = _names(reference, key, title, aliases)
-    asked = distinct.select("value").filter("value IS NOT NULL")
     pairs = [(r[0], r[1]) for r in names.limit(max_names + 1).collect()]
     if len(pairs) <= max_names:
-        index = Index(sorted(pairs))
+        index = Index(pairs, noise)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = _decided([(v, index.match(v, threshold, margin)) for v in batch.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([found.column(0), batch.column(1), *found.columns[1:]], ["value", "n_rows", *found.schema.names[1:]])
 
-        # scoring costs far more than the bytes say, so the few bytes are spread by hand
-        spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+        # scoring costs far more than the bytes say, so the few bytes are spread by hand, in many small tasks:
+        # a value may have far more candidates than another
+        spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
         mapped = distinct.filter("value IS NOT NULL").repartition(spread, "value").mapInArrow(run, _OUT.replace("value string,", "value string, n_rows bigint,"))
     else:
-        mapped = distinct.filter("value IS NOT NULL").join(_joined(asked, names, threshold, margin), "value")
-    empty = distinct.filter("value IS NULL").select("value", "n_rows", *(F.lit(None).cast(t).alias(c) for c, t in (("entry", "long"), ("cosine", "double"), ("spelling", "double"), ("margin", "double"))))
-    return mapped.select("value", "n_rows", "entry", "cosine", "spelling", "margin").unionByName(empty)
+        asked = distinct.select("value").filter("value IS NOT NULL")
+        mapped = distinct.filter("value IS NOT NULL").join(_joined(asked, names, threshold, margin, noise), "value")
+    empty = distinct.filter("value IS NULL").select("value", "n_rows", *(F.lit(None).cast(t).alias(c) for c, t in (("entry", "long"), ("cosine", "double"), ("margin", "double"))))
+    return mapped.select("value", "n_rows", "entry", "cosine", "margin").unionByName(empty)
 
 
 def meant_entries(values: DataFrame, row_key: str, raw: str, reference: DataFrame, key: str, title: str, aliases: str) -> DataFrame:

@@ -46,10 +46,28 @@ def test_recall_of_retrieval_against_brute_force():
             y = {g: INDEX.idf[g] * (1 + math.log(n)) for g, n in b.items()}
             dot = sum(x[g] * y[g] for g in x.keys() & y.keys())
             scores.append(dot / math.sqrt(sum(t * t for t in x.values()) * sum(t * t for t in y.values())))
-        want = {i: round(s, 9) for i, s in enumerate(scores) if s >= C.THRESHOLD}
+        want = {i: round(s, 9) for i, s in enumerate(scores) if s >= C.NEAR}
         assert {i: round(s, 9) for s, i in INDEX.retrieve(words)} == want
 
 
+def test_short_names_are_names():
+    index = C.Index([(1, "Go"), (2, "R"), (3, "UX"), (4, "Rust")])
+    assert [index.match(v) and index.match(v)[0] for v in ("Go", "go", "R", "[[UX]]", "rust", "C", "x")] == [1, 1, 2, 3, 4, None, None]
+
+
+def test_acceptance_is_the_cosine():
+    name, weight = ["grey", "viradarik"], {"grey": 1.0, "viradarik": 3.0}
+    assert C.compare(name, ["grey", "viradarik"], weight, 5.0) == (1.0, True)
+    cosine, spelt = C.compare(name, ["viradarik"], weight, 5.0)
+    assert not spelt and abs(cosine - 3 / 10**0.5) < 1e-9
+    cosine, spelt = C.compare(name, ["grey", "viradarik", "station"], weight, 5.0)
+    assert not spelt and abs(cosine - 10 / (10 * 35) ** 0.5) < 1e-9
+    found = [(1, name), (2, ["grey", "viradarin"])]
+    assert C.decide(["grey", "viradarik"], found, weight, 5.0)[0] == 1
+    assert C.decide(["grey", "viradarik"], found, weight, 5.0, threshold=1.1) is None
+    assert C.decide(["grey", "viradarik"], found, weight, 5.0, margin=0.5) is None
+
+
 def _tables(spark):
     typed = [(1, "Viradarik"), (1, "Viradarik"), (2, "viradarik?"), (3, None), (4, ""), (5, "aaa"), (6, "Zavasetis Peninsula" + " x" * 50_000), (7, "Mafegugok"), (8, "aaa")]
     values = spark.createDataFrame([(i, v, "e", 0.5) for i, v in typed], "typed_id long, raw string, entry string, margin double")
@@ -64,6 +82,14 @@ def test_operator_on_both_ways(spark, most):
     assert got == {"Viradarik": (2, 1), "viradarik?": (1, 1), None: (1, None), "": (1, None), "aaa": (2, None), ("Zavasetis Peninsula" + " x" * 50)[:30]: (1, 3), "Mafegugok": (1, 2)}
 
 
+def test_both_ways_give_the_same_rows(spark):
+    values = ["Grey Viradarik Hdbk", "Viradaric", "gizafevum comision", "Chateau Hajefibes", "Zavasetis eninsula", "Pehanetan Spillway", "Sabuzaben Conf", "Comission of Sabuzaben", "Conference", "R", "Hajefibes", "the", "?"]
+    df = spark.createDataFrame([(v,) for v in values], "raw string")
+    hubs = spark.createDataFrame([*HUBS, (7, "R", ["The R"]), (8, "Pehanetan Station", None)], "hub_id int, title string, aliases array<string>")
+    rows = [sorted((tuple(r) for r in C.map_values(df, "raw", hubs, "hub_id", "title", "aliases", max_names=most).collect()), key=repr) for most in (C.MAX_NAMES, 0)]
+    assert rows[0] == rows[1] and sum(r[2] is not None for r in rows[0]) == 8
+
+
 def test_rows_and_empty_tables(spark):
     values, hubs = _tables(spark)
     rows = sorted((r.typed_id, r.entry) for r in C.meant_entries(values, "typed_id", "raw", hubs, "hub_id", "title", "aliases").collect())
