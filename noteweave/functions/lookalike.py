@@ -2,9 +2,7 @@
 
 ``plain`` gives the form a reader sees: nothing invisible, ordinary blanks,
 hyphens and width, composed accents, and the letters of each word from one
-script. ``skeleton`` is coarser: every character becomes the prototype it
-looks like, so two values look alike exactly if their skeletons are equal.
-Both are the identity on printable ASCII.
+script. It is the identity on printable ASCII.
 """
 
 from __future__ import annotations
@@ -60,6 +58,11 @@ class _Clean(dict):
 _CLEAN = _Clean()
 
 
+def visible(s: str) -> str:
+    """``s`` without invisible characters, with ordinary blanks, hyphens and width."""
+    return s.translate(_CLEAN)
+
+
 def _script(ch: str) -> str:
     c = ord(ch)
     if c < 0x250 or 0x1E00 <= c <= 0x1EFF:
@@ -105,20 +108,12 @@ def plain(s: str | None) -> str | None:
     """The plain text ``s`` looks like; None stays None."""
     if s is None or _PRINTABLE.fullmatch(s):
         return s
-    s = s.translate(_CLEAN)
+    s = visible(s)
     if _ALPHABETS.search(s):
         s = _WORD.sub(lambda m: _one_script(m[0]), unicodedata.normalize("NFD", s))
     return unicodedata.normalize("NFC", s)
 
 
-def skeleton(s: str | None) -> str | None:
-    """Decompose, replace each character by its prototype, decompose again."""
-    if s is None or _PRINTABLE.fullmatch(s):
-        return s
-    s = unicodedata.normalize("NFD", s.translate(_CLEAN))
-    return unicodedata.normalize("NFD", "".join(PROTOTYPE.get(ch, ch) for ch in s))
-
-
 def _mapped(f):
     def run(values: pa.Array) -> pa.Array:
         return pa.array([f(v) for v in values.to_pylist()], pa.string())
@@ -135,8 +130,3 @@ def not_plain_ascii(c: Column) -> Column:
 def plain_col(c: Column) -> Column:
     """``plain`` as a column; only values beyond printable ASCII go to Python."""
     return F.when(not_plain_ascii(c), _mapped(plain)(F.when(not_plain_ascii(c), c))).otherwise(c)
-
-
-def skeleton_col(c: Column) -> Column:
-    """``skeleton`` as a column; only values beyond printable ASCII go to Python."""
-    return F.when(not_plain_ascii(c), _mapped(skeleton)(F.when(not_plain_ascii(c), c))).otherwise(c)

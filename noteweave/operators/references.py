@@ -9,9 +9,10 @@ partial  the non-NULL columns alone have to match (SQL MATCH PARTIAL)
 full     all columns NULL refers to nothing; some NULL is always an orphan
          (SQL MATCH FULL)
 
-Rows are grouped by their null mask and each mask is anti-joined on its
-non-NULL columns. A target may carry the time from which it exists; then it
-only serves references made at or after that time.
+or a table of its own says it mask by mask. Rows are grouped by their null
+mask and each mask is anti-joined on its non-NULL columns. The time of a
+reference may be the last column of the key; it matches a target that exists
+by then.
 """
 
 from __future__ import annotations
@@ -24,55 +25,72 @@ from pyspark.sql import functions as F
 
 from noteweave.functions.lookalike import not_plain_ascii, plain, plain_col
 from noteweave.functions.text import fold, percent_decode
+from noteweave.session import cut
 
+#: What becomes of the references of a mask: matched on the columns that are there, orphans all, or no references.
+MATCH, ORPHAN, NOTHING = "match", "orphan", "nothing"
+Mask = tuple[bool, ...]
 
-def orphans(
-    refs: DataFrame,
+
+def semantics(match: str | dict[Mask, str], width: int) -> dict[Mask, str]:
+    """What becomes of each null mask (True: the column is there) of a key of ``width`` columns."""
+    if not isinstance(match, str):
+        if missing := set(product((True, False), repeat=width)) - set(match):
+            raise ValueError(f"no semantics for {sorted(missing)}")
+        return match
+    if match not in ("simple", "partial", "full"):
+        raise ValueError(f"unknown match semantics {match!r}")
+    other = {"simple": NOTHING, "partial": MATCH, "full": ORPHAN}[match]
+    return {m: MATCH if all(m) else other if any(m) else NOTHING for m in product((True, False), repeat=width)}
+
+
+def masked(refs: DataFrame, key: list[str]) -> DataFrame:
+    """``refs`` with ``__mask``, a character for each key column, 1 where it is there and 0 where it is NULL; written once."""
+    return cut(refs.withColumn("__mask", F.concat(*[F.when(F.col(k).isNull(), "0").otherwise("1") for k in key])))
+
+
+def orphans_of(
+    marked: DataFrame,
     targets: DataFrame,
     keys: list[str],
-    match: str = "simple",
+    match: str | dict[Mask, str] = "simple",
     time: str | None = None,
     since: str | None = None,
-    masks: list[tuple[bool, ...]] | None = None,
 ) -> DataFrame:
-    """The rows of ``refs`` whose key no row of ``targets`` serves.
-
-    ``keys`` stand in both tables. With ``time`` (column of refs) and ``since``
-    (column of targets) a target serves only if since <= time; a NULL time
-    means now, so any target serves. ``masks`` names the null masks that can
-    occur (True: the column is there); default all. Targets with NULLs in the
-    mask's columns serve nothing. Repeated rows stay repeated. Targets are
-    reduced to one row per key (the earliest since) before the join, so a hot
-    target key costs one row; a hot reference key is split by the adaptive
-    skew join, for which the one target row is replicated.
+    """The rows of ``marked`` (see ``masked``) whose key no row of ``targets`` serves.
+
+    ``keys`` stand in both tables. With ``time`` (the last column of the key)
+    and ``since`` (column of targets) a target serves a reference whose time
+    is there only if since <= time; a target of NULL since then serves none.
+    Targets with NULLs in the mask's columns serve nothing. Repeated rows stay
+    repeated. Targets are reduced to one row per key (the earliest since)
+    before the join, so a hot target key costs one row; a hot reference key is
+    split by the adaptive skew join, for which the one target row is
+    replicated. An empty table of targets leaves every reference an orphan.
     """
-    if match not in ("simple", "partial", "full"):
-        raise ValueError(f"unknown match semantics {match!r}")
-    there = (True,) * len(keys)
+    columns = [*keys, time] if time else keys
+    rules = semantics(match, len(columns))
     found = []
-    for mask in masks or list(product((True, False), repeat=len(keys))):
-        has = reduce(lambda x, y: x & y, [F.col(k).isNotNull() if m else F.col(k).isNull() for k, m in zip(keys, mask, strict=True)])
-        if mask != there:
-            if match == "simple" or not any(mask):
-                continue
-            if match == "full":
-                found.append(refs.filter(has))
-                continue
-        on = [k for k, m in zip(keys, mask, strict=True) if m]
-        named = targets.dropna(subset=on)
-        if time is None:
-            side = named.groupBy(*on).agg(F.lit(1).alias("__since"))
-        else:
-            # a NULL since exists at no known time and serves only references without a time
-            side = named.groupBy(*on).agg(F.min(since).alias("__since"))
-        side = side.select(*[F.col(k).alias(f"__{k}") for k in on], "__since")
-        same = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"__{k}") for k in on])
-        if time is not None:
-            same = same & (F.col(time).isNull() | (F.col("__since") <= F.col(time)))
-        found.append(refs.filter(has).join(side, same, "left_anti"))
-    if not found:
-        return refs.limit(0)
-    return reduce(DataFrame.unionByName, found)
+    for bits in sorted(r[0] for r in marked.select("__mask").distinct().collect()):  # at most 2^columns
+        mask = tuple(c == "1" for c in bits)
+        own = marked.filter(F.col("__mask") == bits).drop("__mask")
+        if rules[mask] == ORPHAN:
+            found.append(own)
+        if rules[mask] != MATCH:
+            continue
+        on = [k for k, there in zip(columns, mask, strict=True) if there and k != time]
+        timed = time is not None and mask[-1]
+        named = targets.dropna(subset=[*on, *([since] if timed else [])])
+        side = named.groupBy(*on).agg(F.min(since).alias("__since")) if timed else named.select(*on).distinct()
+        side = side.select(*[F.col(k).alias(f"__{k}") for k in on], *(["__since"] if timed else []))
+        same = [F.col(k) == F.col(f"__{k}") for k in on] + ([F.col("__since") <= F.col(time)] if timed else [])
+        found.append(own.join(side, reduce(lambda x, y: x & y, same), "left_anti") if same else own.limit(0))
+    return reduce(DataFrame.unionByName, found) if found else marked.drop("__mask").limit(0)
+
+
+def orphans(refs: DataFrame, targets: DataFrame, keys: list[str], match: str | dict[Mask, str] = "simple", time: str | None = None, since: str | None = None) -> DataFrame:
+    """The rows of ``refs`` whose key no row of ``targets`` serves: ``orphans_of`` the masked rows."""
+    return orphans_of(masked(refs, [*keys, time] if time else keys), targets, keys, match, time, since)
 
 
 def _meant(raw: Column) -> Column:
@@ -151,25 +169,41 @@ def page_targets(pages: DataFrame, hubs: DataFrame) -> DataFrame:
     return own.unionByName(hub).select(page_title(F.col("name")).alias("name"), "since").filter("name IS NOT NULL")
 
 
+# The key is (name, time). Where the time is NULL the name alone has to match. A link without a name is no
+# reference; a redirect of which no name is left leads nowhere and is an orphan.
+LINK_MATCH = {(True, True): MATCH, (True, False): MATCH, (False, True): NOTHING, (False, False): NOTHING}
+PAGE_MATCH = {(True, True): MATCH, (True, False): MATCH, (False, True): ORPHAN, (False, False): ORPHAN}
+_KEY = ["name", "at"]
+
+
+def _orphans(from_links: DataFrame, from_pages: DataFrame, notes: DataFrame, aliases: DataFrame, hubs: DataFrame, pages: DataFrame) -> DataFrame:
+    lost = orphans_of(from_links, note_targets(notes, aliases, hubs), ["name"], LINK_MATCH, "at", "since")
+    return lost.unionByName(orphans_of(from_pages, page_targets(pages, hubs), ["name"], PAGE_MATCH, "at", "since"))
+
+
 def orphan_rows(links: DataFrame, pages: DataFrame, notes: DataFrame, aliases: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(tbl, row_id, at) of every orphan reference, repeated rows kept.
+    """(tbl, row_id, at) of every orphan reference, repeated rows kept."""
+    return _orphans(masked(link_references(links), _KEY), masked(page_references(pages), _KEY), notes, aliases, hubs, pages).select("tbl", "row_id", "at")
 
-    A link with an empty or foreign target refers to nothing; a redirect that
-    is blank after cutting names no page and is an orphan. The composite key
-    is (name, time); a NULL time is matched on the name alone.
-    """
-    from_links = orphans(link_references(links), note_targets(notes, aliases, hubs), ["name"], "simple", "at", "since")
-    redirects = page_references(pages)
-    from_pages = orphans(redirects, page_targets(pages, hubs), ["name"], "simple", "at", "since")
-    blank = redirects.filter("name IS NULL")
-    return from_links.unionByName(from_pages).unionByName(blank).select("tbl", "row_id", "at")
+
+def _counted(refs: DataFrame, lost: DataFrame, by: str) -> DataFrame:
+    n_refs = refs.groupBy("tbl", by).agg(F.count_distinct("row_id").alias("n_refs"))
+    n_lost = lost.groupBy(F.col("tbl").alias("__t"), F.col(by).alias("__b")).agg(F.count_distinct("row_id").alias("n_orphans"))
+    joined = n_refs.join(n_lost, (F.col("tbl") == F.col("__t")) & F.col(by).eqNullSafe(F.col("__b")), "left")
+    return joined.select("tbl", by, "n_refs", F.coalesce("n_orphans", F.lit(0)).alias("n_orphans"))
 
 
 def orphan_report(links: DataFrame, pages: DataFrame, notes: DataFrame, aliases: DataFrame, hubs: DataFrame) -> DataFrame:
     """(tbl, month, n_refs, n_orphans): distinct rows per table and month."""
-    refs = link_references(links).filter("name IS NOT NULL").unionByName(page_references(pages))
+    from_links, from_pages = masked(link_references(links), _KEY), masked(page_references(pages), _KEY)
     month = F.date_format("at", "yyyy-MM").alias("month")
-    n_refs = refs.groupBy("tbl", month).agg(F.count_distinct("row_id").alias("n_refs"))
-    lost = orphan_rows(links, pages, notes, aliases, hubs).groupBy("tbl", month).agg(F.count_distinct("row_id").alias("n_orphans"))
-    joined = n_refs.join(lost.select(F.col("tbl").alias("t2"), F.col("month").alias("m2"), "n_orphans"), (F.col("tbl") == F.col("t2")) & F.col("month").eqNullSafe(F.col("m2")), "left")
-    return joined.select("tbl", "month", "n_refs", F.coalesce("n_orphans", F.lit(0)).alias("n_orphans"))
+    refs = from_links.filter("name IS NOT NULL").unionByName(from_pages).select("tbl", "row_id", month)
+    return _counted(refs, _orphans(from_links, from_pages, notes, aliases, hubs, pages).select("tbl", "row_id", month), "month")
+
+
+def mask_report(links: DataFrame, pages: DataFrame, notes: DataFrame, aliases: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(tbl, mask, n_refs, n_orphans): distinct rows per table and null mask of (name, time), '10' a name without a time."""
+    from_links, from_pages = masked(link_references(links), _KEY), masked(page_references(pages), _KEY)
+    mask = F.concat(F.when(F.col("name").isNull(), "0").otherwise("1"), F.when(F.col("at").isNull(), "0").otherwise("1")).alias("mask")
+    refs = from_links.unionByName(from_pages).select("tbl", "row_id", mask)
+    return _counted(refs, _orphans(from_links, from_pages, notes, aliases, hubs, pages).select("tbl", "row_id", mask), "mask")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteweave.functions.lookalike import ARMENIAN, ARMENIAN_AS, CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS
 from noteweave.operators import references, tree_aggregate
 from noteweave.session import table
 
@@ -32,7 +31,11 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(*_reference_tables(spark, d))
 
 
-QUERIES = {"p2_found": p2_found, "p2_node_stats": p2_node_stats, "p6_found": p6_found, "p6_report": p6_report}
+def p6_masks(spark: SparkSession, d: str) -> DataFrame:
+    return references.mask_report(*_reference_tables(spark, d))
+
+
+QUERIES = {"p2_found": p2_found, "p2_node_stats": p2_node_stats, "p6_found": p6_found, "p6_report": p6_report, "p6_masks": p6_masks}
 
 _ENDS = """WITH ends AS (
   SELECT 'a' AS side, a AS node, b AS other, w FROM edges
@@ -41,6 +44,12 @@ _ENDS = """WITH ends AS (
 _INVISIBLE = "[\\x{ad}\\x{61c}\\x{180e}\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}-\\x{2064}\\x{2066}-\\x{206f}\\x{feff}\\x{34f}\\x{fe00}-\\x{fe0f}]"
 _BLANK = "[\\t\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}]"
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+# The look-alikes of the SQL, a foreign letter and the Latin one it is drawn like; written apart from the operator's table.
+_PAIRS = (
+    "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ԌG ԚQ ԜW ѴV ӀI аa еe ѕs іi јj оo рp сc уy хx һh ԁd ԛq ԝw ѵv ӏl "
+    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ αa γy ιi νv οo ρp υu ϲc ϳj ՕO ՍU ՏS օo սu ոn հh ցg զq յj"
+).split()
+_FOREIGN, _AS_LATIN = "".join(p[0] for p in _PAIRS), "".join(p[1] for p in _PAIRS)
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
 
 
@@ -48,7 +57,7 @@ def plain_sql(x: str) -> str:
     """SQL for the plain form of a text whose foreign words hold no Latin look-alikes."""
     clean = f"nfc_normalize(translate(regexp_replace(regexp_replace(regexp_replace({x}, '{_INVISIBLE}', '', 'g'), '{_BLANK}', ' ', 'g'), '[\\x{{2010}}\\x{{2011}}]', '-', 'g'), '{_WIDE}', '{_NARROW}'))"
     words = f"regexp_extract_all({clean}, '\\p{{L}}+|\\P{{L}}+')"
-    mixed = f"CASE WHEN regexp_matches(v, '\\p{{Latin}}') AND regexp_matches(v, '[\\p{{Greek}}\\p{{Cyrillic}}\\p{{Armenian}}]') THEN translate(v, '{CYRILLIC}{GREEK}{ARMENIAN}', '{CYRILLIC_AS}{GREEK_AS}{ARMENIAN_AS}') ELSE v END"
+    mixed = f"CASE WHEN regexp_matches(v, '\\p{{Latin}}') AND regexp_matches(v, '[\\p{{Greek}}\\p{{Cyrillic}}\\p{{Armenian}}]') THEN translate(v, '{_FOREIGN}', '{_AS_LATIN}') ELSE v END"
     return f"array_to_string(list_transform({words}, lambda v: {mixed}), '')"
 
 
@@ -87,6 +96,12 @@ ORACLE = {
     "p2_found": f"{_ENDS} SELECT side, node FROM ends WHERE node IS NOT NULL GROUP BY side, node HAVING count(*) * 100 >= (SELECT count(*) FROM edges)",
     "p2_node_stats": f"{_ENDS} SELECT side, node, count(*) AS n_rows, count(DISTINCT other) AS n_neighbours, round(sum(w), 4) AS sum_w FROM ends WHERE node IS NOT NULL GROUP BY side, node",
     "p6_found": f"WITH {_ORPHANS} SELECT DISTINCT tbl, row_id FROM orphan",
+    "p6_masks": f"""WITH {_ORPHANS},
+refs AS (
+  SELECT 'links' AS tbl, link_id AS row_id, CASE WHEN link_id IN (SELECT link_id FROM named) THEN '1' ELSE '0' END || CASE WHEN seen_at IS NULL THEN '0' ELSE '1' END AS mask FROM links
+  UNION ALL SELECT 'wiki_pages', page_id, CASE WHEN name = '' THEN '0' ELSE '1' END || CASE WHEN moment IS NULL THEN '0' ELSE '1' END FROM page_refs),
+lost AS (SELECT tbl, mask, count(DISTINCT row_id) AS n_orphans FROM refs JOIN (SELECT DISTINCT tbl, row_id FROM orphan) USING (tbl, row_id) GROUP BY 1, 2)
+SELECT tbl, mask, count(DISTINCT row_id) AS n_refs, coalesce(any_value(n_orphans), 0) AS n_orphans FROM refs LEFT JOIN lost USING (tbl, mask) GROUP BY 1, 2""",
     "p6_report": f"""WITH {_ORPHANS},
 refs AS (SELECT 'links' AS tbl, link_id AS row_id, moment FROM named UNION ALL SELECT 'wiki_pages', page_id, moment FROM page_refs),
 counted AS (SELECT tbl, strftime(moment, '%Y-%m') AS month, count(DISTINCT row_id) AS n_refs FROM refs GROUP BY 1, 2),

@@ -35,13 +35,33 @@ def test_full(tables):
         R.orphans(*tables, ["x", "y"], "most")
 
 
+def test_semantics_mask_by_mask(spark, tables):
+    rules = {(True, True): R.MATCH, (True, False): R.ORPHAN, (False, True): R.NOTHING, (False, False): R.ORPHAN}
+    assert rows(R.orphans(*tables, ["x", "y"], rules)) == sorted([(1, 2), (1, 2), (5, 5), (1, None), (9, None), (None, None)], key=repr)
+    with pytest.raises(ValueError):
+        R.orphans(*tables, ["x", "y"], {(True, True): R.MATCH})
+
+
+def test_a_mask_is_one_join_without_or(spark, tables):
+    plan = R.orphans(*tables, ["x", "y"], "partial")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 3 and " OR " not in plan
+
+
 def test_times(spark):
     refs = spark.createDataFrame([(1, 5), (1, 1), (1, None), (2, 5), (3, 5)], "k int, at int")
     targets = spark.createDataFrame([(1, 3), (1, 4), (3, None)], "k int, since int")
-    left = R.orphans(refs, targets, ["k"], "simple", "at", "since")
+    left = R.orphans(refs, targets, ["k"], "partial", "at", "since")
     assert sorted((r.k, r.at) for r in left.collect()) == [(1, 1), (2, 5), (3, 5)]
 
 
+def test_without_a_time_the_rest_is_matched(spark):
+    refs = spark.createDataFrame([(3, None), (3, 5), (4, None), (None, 5), (None, None)], "k int, at int")
+    targets = spark.createDataFrame([(3, None), (None, 1)], "k int, since int")
+    assert sorted((r.k, r.at) for r in R.orphans(refs, targets, ["k"], R.LINK_MATCH, "at", "since").collect()) == [(3, 5), (4, None)]
+    assert sorted(((r.k, r.at) for r in R.orphans(refs, targets, ["k"], R.PAGE_MATCH, "at", "since").collect()), key=repr) == [(3, 5), (4, None), (None, 5), (None, None)]
+    assert sorted(((r.k, r.at) for r in R.orphans(refs, targets, ["k"], "simple", "at", "since").collect()), key=repr) == [(3, 5)]
+
+
 def test_empty_tables_and_extra_columns(spark):
     refs = spark.createDataFrame([(1, "a")], "k int, since string")
     none = refs.limit(0)
