@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteweave.functions.lookalike import _CLEAN, PROTOTYPE, not_plain_ascii, plain, plain_col
+from noteweave.functions.lookalike import PROTOTYPE, not_plain_ascii, plain, plain_col, visible
 from noteweave.session import cut
 
 # Further letters that are drawn like Latin letters or digits, and what they look like.
@@ -68,7 +68,7 @@ def skeleton(s: str | None, table: dict[str, str] = PROTOTYPES) -> str | None:
     """Decompose, replace each character by its prototype, decompose again. None stays None."""
     if s is None:
         return None
-    s = s.translate(_CLEAN) if not s.isascii() or not s.isprintable() else s
+    s = visible(s) if not s.isascii() or not s.isprintable() else s
     if not s.isascii():
         s = unicodedata.normalize("NFD", "".join(map(_unfont, s)))
     s = "".join(table.get(ch, ch) for ch in s)

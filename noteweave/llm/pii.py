@@ -17,7 +17,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -132,8 +132,8 @@ N_VOTES = {"email": 5, "phone": 4, "id_number": 5, "address": 5, "person": 7}
 
 #: Weight of the belief that labelers beat chance, as a share of the rarer kind of spans, true or false.
 PRIOR_SHARE = 0.3
-#: Spans of each kind the classifier is trained on, those of the lowest hash.
-TRAIN_SPANS = 30_000
+#: Spans of each kind the classifier is trained on: about so many of the lowest hashes, never more.
+TRAIN_SPANS = 20_000
 #: Spans of the training sample a feature must stand in.
 LEAST_SPANS = 3
 #: Turns of classifier and labels.
@@ -529,11 +529,21 @@ def _trained(spans: DataFrame, key: str) -> Classifier:
     shapes rows, whatever the corpus.
     """
     counts = [(r[0], r[1], r[2]) for r in spans.groupBy("kind", "pattern").count().collect()]
-    sample: list[tuple[str, str, str]] = []
-    for kind in sorted({k for k, _, _ in counts}):
-        own = spans.filter(F.col("kind") == kind)
-        order = F.xxhash64(F.col(key).cast("string"), "start_char", "features")
-        sample += [(kind, r[0], r[1]) for r in own.select("pattern", "features", order.alias("h")).orderBy("h", "pattern", "features").limit(TRAIN_SPANS).collect()]
+    of_kind = Counter()
+    for kind, _, n in counts:
+        of_kind[kind] += n
+    # a share of the hashes, known from the counts, so that no task sends more than its part of the sample
+    part = 1_000_003
+    share = [(F.col("kind") == k) & (F.col("h") < int(part * min(1.0, TRAIN_SPANS / n)) + 1) for k, n in sorted(of_kind.items())]
+    if not share:
+        return Classifier(counts, [])
+    order = F.pmod(F.xxhash64(F.col(key).cast("string"), "start_char", "features"), F.lit(part))
+    rows = spans.select("kind", "pattern", "features", order.alias("h")).filter(reduce(lambda x, y: x | y, share)).collect()
+    taken, sample = Counter(), []
+    for kind, pattern, features, _ in sorted(rows, key=lambda r: (r[0], r[3], r[1], r[2])):
+        taken[kind] += 1
+        if taken[kind] <= TRAIN_SPANS:
+            sample.append((kind, pattern, features))
     return Classifier(counts, sample)
 
 
