@@ -15,7 +15,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_node_stats(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "edges")
-    stats = tree_aggregate.node_stats(edges, edges.count())
+    stats = tree_aggregate.node_stats(edges)
     return stats.withColumn("sum_w", F.round("sum_w", 4))
 
 
