@@ -32,10 +32,10 @@ MULTI = {"m": "rn", "æ": "ae", "œ": "oe", "Æ": "AE", "Œ": "OE", "ƞ": "n", "
 _FONTS = ("<font>", "<wide>", "<narrow>", "<noBreak>", "<compat>", "<isolated>", "<initial>", "<medial>", "<final>")
 
 
-def prototypes(more: dict[str, str] | None = None) -> dict[str, str]:
-    """Character to its prototype, prototypes themselves resolved; ``more`` adds or replaces entries."""
+def prototypes(more: dict[str, str] | None = None) -> dict[int, str]:
+    """Translation of characters to their prototypes, prototypes themselves resolved; ``more`` adds or replaces entries."""
     table = PROTOTYPE | dict(zip(LATIN, LATIN_AS, strict=True)) | dict(zip(CHEROKEE, CHEROKEE_AS, strict=True)) | dict(zip(ASCII, ASCII_AS, strict=True)) | MULTI | (more or {})
-    return {c: "".join(table.get(x, x) if x != c else x for x in p) for c, p in table.items()}
+    return {ord(c): "".join(table.get(x, x) if x != c else x for x in p) for c, p in table.items()}
 
 
 def read_confusables(path: str) -> dict[str, str]:
@@ -54,24 +54,27 @@ def read_confusables(path: str) -> dict[str, str]:
 PROTOTYPES = prototypes()
 
 
-def _unfont(ch: str) -> str:
-    """A character in its plain font and width; signs that look different (superscripts, fractions, circles) stay."""
-    for _ in range(4):
-        kind = unicodedata.decomposition(ch).split(" ", 1)[0] if len(ch) == 1 else ""
-        if kind not in _FONTS:
-            break
-        ch = "".join(chr(int(c, 16)) for c in unicodedata.decomposition(ch).split(" ")[1:])
-    return ch
+class _Unfont(dict):
+    """Character to its plain font and width, worked out on first use; signs that look different (superscripts, fractions, circles) stay."""
 
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        while len(ch) == 1 and (kind := unicodedata.decomposition(ch).split(" "))[0] in _FONTS:
+            ch = "".join(chr(int(c, 16)) for c in kind[1:])
+        self[code] = ch
+        return ch
 
-def skeleton(s: str | None, table: dict[str, str] = PROTOTYPES) -> str | None:
+
+_UNFONT = _Unfont()
+
+
+def skeleton(s: str | None, table: dict[int, str] = PROTOTYPES) -> str | None:
     """Decompose, replace each character by its prototype, decompose again. None stays None."""
     if s is None:
         return None
-    s = visible(s) if not s.isascii() or not s.isprintable() else s
-    if not s.isascii():
-        s = unicodedata.normalize("NFD", "".join(map(_unfont, s)))
-    s = "".join(table.get(ch, ch) for ch in s)
+    if not s.isascii() or not s.isprintable():
+        s = unicodedata.normalize("NFD", visible(s).translate(_UNFONT))
+    s = s.translate(table)
     return s if s.isascii() else unicodedata.normalize("NFD", s)
 
 
@@ -83,18 +86,18 @@ def _mapped(f):
     return F.arrow_udf(run, "string")
 
 
-def skeleton_col(c: Column, table: dict[str, str] | None = None) -> Column:
+def skeleton_col(c: Column, table: dict[int, str] | None = None) -> Column:
     """``skeleton`` as a column; printable ASCII stays in the JVM."""
     full = PROTOTYPES if table is None else table
-    single = {k: v for k, v in full.items() if k.isascii() and len(v) == 1}
+    single = {chr(k): v for k, v in full.items() if k < 128 and len(v) == 1}
     in_jvm = F.translate(c, "".join(single), "".join(single.values()))
     for k, v in full.items():
-        if k.isascii() and len(v) != 1:
-            in_jvm = F.replace(in_jvm, F.lit(k), F.lit(v))
+        if k < 128 and len(v) != 1:
+            in_jvm = F.replace(in_jvm, F.lit(chr(k)), F.lit(v))
     return F.when(not_plain_ascii(c), _mapped(lambda s: skeleton(s, full))(F.when(not_plain_ascii(c), c))).otherwise(in_jvm)
 
 
-def consistent(rows: DataFrame, value: str, table: dict[str, str] | None = None) -> DataFrame:
+def consistent(rows: DataFrame, value: str, table: dict[int, str] | None = None) -> DataFrame:
     """``rows`` with ``plain`` (the consistent form) and ``skeleton`` added.
 
     NULL stays NULL, '' stays ''. Values of printable ASCII are their own
@@ -105,7 +108,7 @@ def consistent(rows: DataFrame, value: str, table: dict[str, str] | None = None)
     return rows.withColumns({"plain": plain_col(F.col(value)), "skeleton": skeleton_col(F.col(value), table)})
 
 
-def groups(rows: DataFrame, value: str, table: dict[str, str] | None = None) -> DataFrame:
+def groups(rows: DataFrame, value: str, table: dict[int, str] | None = None) -> DataFrame:
     """(skeleton, n_rows, n_spellings, plain): look-alike groups with more than one spelling.
 
     Rows are counted per distinct value before the skeleton is worked out, so
@@ -138,9 +141,11 @@ def dirty_values(values: DataFrame) -> DataFrame:
     with one skeleton (a Latin and a Cyrillic word) leave each other alone.
     """
     read = cut(values.mapInArrow(_readings, "v string, skeleton string, form string, form_skeleton string"))
-    texts = read.select(F.col("form_skeleton").alias("skeleton"), "form").distinct()
-    grouped = read.select("v", "skeleton").join(texts.select("skeleton").distinct(), "skeleton", "left_semi")
-    return grouped.join(texts.select(F.col("form").alias("v"), "skeleton"), ["skeleton", "v"], "left_anti").select("v")
+    of = lambda skeleton, text, is_text: F.struct(F.col(skeleton).alias("skeleton"), F.col(text).alias("v"), F.lit(is_text).alias("is_text"))
+    members = read.select(F.explode(F.array(of("skeleton", "v", False), of("form_skeleton", "form", True))).alias("m")).select("m.*")
+    members = members.groupBy("skeleton", "v").agg(F.max("is_text").alias("is_text"))
+    texts = members.filter("is_text").select("skeleton").distinct()
+    return members.filter("NOT is_text").join(texts, "skeleton", "left_semi").select("v")
 
 
 def dirty_rows(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
