@@ -2,8 +2,8 @@
 
 All runs of ``words`` normalised words of the evaluation texts are the patterns
 of one automaton over word numbers. Each document is scanned once; markup is
-stepped over, and every hit is mapped back to character offsets of the
-original text.
+stepped over, what long markup holds is scanned as a text of its own, and
+every hit is mapped back to character offsets of the original text.
 """
 
 from __future__ import annotations
@@ -26,23 +26,39 @@ _WORD = re.compile(r"[^\W_]+")
 _MARKUP = re.compile(
     r"""<!--.*?-->
   | <ref\b[^<>]*?(?:/>|>.*?</ref>) | <sup>.*?</sup> | </?[A-Za-z!][^<>]*>
-  | !\[[^\]\n]*\]\([^()\n]*\) | \]\([^()\n]*\) | \[\^[^\]\s]{1,40}\] | \[https?://[^\s\]]*
-  | \[\[(?:[^\[\]|\n]*\|)+ | \{\{(?:lang|small|quote|big|nowrap|abbr)\|(?:[^{}|\n]{0,20}\|)? | \{\{[^{}]*\}\}
+  | !\[[^\]\n]*\]\([^()\n]*\) | \]\([^()\n]*\) | \[\^[^\]\s]+\] | \[https?://[^\s\]]*
+  | \[\[(?:[^\[\]|\n]*\|)+ | \{\{lang\|[^{}|\n]*\| | \{\{(?:small|quote|big|nowrap|abbr)\| | \{\{[^{}]*\}\}
   | ~?\\(?:footnote|cite\w*|ref|label|href)\*?\{[^{}]*\} | \\[A-Za-z]+\*?
-  | &(?:\#\d+|\#x[0-9A-Fa-f]+|[A-Za-z]\w{1,30}); | (?<![\w&/])\#[A-Za-z][\w/-]* | __[A-Z]{3,}__
+  | &(?:\#\d+|\#x[0-9A-Fa-f]+|[A-Za-z]\w+); | (?<![\w&/])\#[A-Za-z][\w/-]* | __[A-Z]{3,}__
   """,
     re.S | re.X,
 )
 _MARKUP_SIGNS = re.compile(r"[<\[{\\&#]|__")
 _BEYOND = re.compile(r"[^\x00-\x7fÀ-ſ]")
+# Openers that reach to a closer however far away, and what is written for one without any: as long, and a mark no more.
+_FAR = (("<!--", "-->", "    "), ("<ref", "</ref>", "<rif"), ("<sup>", "</sup>", "<sop>"))
 
 
-def _hide(m: re.Match) -> str:
-    """Blanks as long as the markup; a long hidden passage is kept to be scanned."""
-    s = m[0]
-    if len(s) > 60 and len(_WORD.findall(s)) >= WORDS:
-        return " " * s.find(">", 0, 60) + s[max(0, s.find(">", 0, 60)) :] if s.startswith("<ref") else s
-    return " " * len(s)
+def _without_open_ends(s: str) -> str:
+    """``s`` with openers that nothing closes written otherwise, so that no search for a closer runs to the end twice."""
+    for opener, closer, instead in _FAR:
+        if opener in s:
+            last = s.rfind(closer) + 1
+            s = s[:last] + s[last:].replace(opener, instead)
+    return s
+
+
+def _read(s: str) -> tuple[str, list[tuple[int, int]]]:
+    """``s`` with blanks for its markup, and where markup with words of its own stood."""
+    inside: list[tuple[int, int]] = []
+
+    def hide(m: re.Match) -> str:
+        inside.append(m.span())
+        return " " * len(m[0])
+
+    if _MARKUP_SIGNS.search(s):
+        s = _MARKUP.sub(hide, _without_open_ends(s))
+    return s, inside
 
 
 def _settled(text: str) -> tuple[str, list[int] | None]:
@@ -68,8 +84,7 @@ def _settled(text: str) -> tuple[str, list[int] | None]:
 def words_of(text: str) -> list[tuple[str, int, int]]:
     """(word, start, end) of the words a reader sees, offsets in the original."""
     s, at = _settled(text)
-    if _MARKUP_SIGNS.search(s):
-        s = _MARKUP.sub(_hide, s)
+    s, _ = _read(s)
     found = [(m[0].casefold(), m.start(), m.end()) for m in _WORD.finditer(s)]
     return found if at is None else [(w, at[i], at[j - 1] + 1) for w, i, j in found]
 
@@ -99,8 +114,19 @@ class Scanner:
         if self.empty:
             return []
         s, at = _settled(text)
-        if _MARKUP_SIGNS.search(s):
-            s = _MARKUP.sub(_hide, s)
+        found: list[tuple[int, int, int, int]] = []
+        parts = [(s, 0)]
+        while parts:
+            part, offset = parts.pop()
+            seen, inside = _read(part)
+            found += [(item, i + offset, j + offset, n) for item, i, j, n in self._stretches(seen)]
+            # what markup holds (a note, a template, a comment) is a text of its own
+            parts += [(part[i + 1 : j - 1], offset + i + 1) for i, j in inside if j - i > 2 * self.words and len(_WORD.findall(part, i, j)) >= self.words]
+        if at is None:
+            return found
+        return [(item, at[i], at[j - 1] + 1, n) for item, i, j, n in found]
+
+    def _stretches(self, s: str) -> list[tuple[int, int, int, int]]:
         get = self.ids.get
         # each word folded as in words_of; a fold of the whole text first could part a word
         numbers = tuple([get(w, 0) for w in (_WORD.findall(s.lower()) if s.isascii() else map(str.casefold, _WORD.findall(s)))])
@@ -117,8 +143,7 @@ class Scanner:
         if not stretches:
             return []
         spans = [m.span() for m in _WORD.finditer(s)]
-        back = (lambda i: i) if at is None else at.__getitem__
-        return [(item, back(spans[i][0]), back(spans[j][1] - 1) + 1, j - i + 1) for item, open_ in stretches.items() for i, j in open_]
+        return [(item, spans[i][0], spans[j][1], j - i + 1) for item, open_ in stretches.items() for i, j in open_]
 
 
 _SCANNERS: dict[int, Scanner] = {}

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 from html.entities import html5
 
@@ -28,7 +29,7 @@ _SLOT = re.compile(f"{_OPEN}(\\d+){_CLOSE}")
 _SLOT_LINE = re.compile(f"[ \\t:]*{_OPEN}(\\d+){_CLOSE}[ \\t.,;]*")
 _PRIVATE = re.compile(f"[{_OPEN}{_CLOSE}]")
 
-_FRONT = re.compile(r"\A\ufeff?---[ \t]*\n(?:[^\n]*\n){0,200}?(?:---|\.\.\.)[ \t]*(?:\n|\Z)")
+_FRONT = re.compile(r"\A\ufeff?---[ \t]*\n(?:[^\n]*\n)*?(?:---|\.\.\.)[ \t]*(?:\n|\Z)")
 _ASIDE = re.compile(
     r"""
     (?P<fence>^[ ]{0,3}(?P<bar>`{3,}|~{3,})[^\n`]*\n(?P<body>(?:[^\n]*\n)*?)[ ]{0,3}(?P=bar)[`~]*[ \t]*(?:\n|\Z))
@@ -47,6 +48,31 @@ _ASIDE = re.compile(
     re.M | re.S | re.X | re.I,
 )
 _ASIDE_NEEDS = re.compile(r"[`~]{3}|<(?:!--|pre|source|syntax|script|style|math|nowiki)|\\begin|\{\||\$|\\\[|\\\(|`", re.I)
+# Where something set aside may begin, and what has to close it; the other openers close on their line or at the next such sign.
+_OPENER = re.compile(
+    r"""^[ ]{0,3}(?P<bar>`{3,}|~{3,}) | (?P<comment><!--) | <(?P<raw>pre|source|syntaxhighlight|script|style|math|nowiki)\b
+  | \\begin\{(?P<env>[a-z]+\*?)\} | (?P<table>^[ ]*\{\|) | (?P<pair>\\[\[(]) | \$ | `""",
+    re.M | re.X | re.I,
+)
+
+
+@lru_cache(1_000)
+def _closer(kind: str) -> re.Pattern:
+    if kind in ("comment", "table"):
+        return re.compile("-->" if kind == "comment" else r"^[ ]*\|\}", re.M)
+    if kind[0] in "`~":
+        return re.compile(f"^[ ]{{0,3}}{kind}[`~]*[ \\t]*$", re.M)
+    if kind[0] == "\\":
+        return re.compile(r"\\\]" if kind == "\\[" else r"\\\)")
+    return re.compile(rf"</{re.escape(kind)}\s*>|\\end\{{{re.escape(kind)}\}}", re.I)
+
+
+_ASIDE_UNCLOSED = re.compile(
+    r"""(?P<lone>^[ ]{0,3}(?:`{3,}|~{3,})[ \t]*\w*[ \t]*\n)
+  | <(?P<raw>pre|source|syntaxhighlight|script|style|math|nowiki)\b(?P<attrs>[^<>]*)/>
+    """,
+    re.M | re.X | re.I,
+)
 _MATH_SIGN = re.compile(r"[\\^_={}+<>]|\A\d*[A-Za-z]\Z")
 
 #: Elements that begin a block of text, and inline or structural ones that only mark it.
@@ -89,7 +115,7 @@ _ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*\Z")
 _WIKIHEAD = re.compile(r"(={1,6})[ \t]*([^=].*?|[^=])[ \t]*\1[ \t]*\Z")
 _UNDER = re.compile(r" {0,3}(=+|-{2,})[ \t]*\Z")
 _RULE = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*\Z")
-_ITEM = re.compile(r"([ \t]*)([-+]|\*+|\d{1,3}[.)]|#+)[ \t]+(\[[ xX]\][ \t]+)?(.*)")
+_ITEM = re.compile(r"([ \t]*)([-+]|\*+|\d{1,9}[.)]|#+)[ \t]+(\[[ xX]\][ \t]+)?(.*)")
 _LATEX_ITEM = re.compile(r"[ \t]*\\item\b(?:\[([^\]]*)\])?[ \t]*(.*)")
 _ROWLIKE = re.compile(r"[ \t]*\|.*\|[ \t]*\Z")
 _RULEROW = re.compile(r"[ \t]*\|?(?:[ \t]*:?-{2,}:?[ \t]*\|)+(?:[ \t]*:?-{2,}:?[ \t]*)?\Z")
@@ -100,7 +126,8 @@ class Rendered:
     """Blocks of one text and what was found in it.
 
     blocks: (kind, level, text) with kind heading, item, code, formula, table,
-    quote or para; level is a heading's depth or an item's nesting. found: the
+    quote or para; level is a heading's depth, or twice an item's nesting, plus
+    one if it is numbered: then its text begins with the number. found: the
     kinds of KINDS present. marked: any markup was there at all.
     """
 
@@ -148,6 +175,32 @@ class _Reader:
         self.slots.append((kind, text))
         return f"{_OPEN}{len(self.slots) - 1}{_CLOSE}"
 
+    def _set_aside(self, s: str) -> str:
+        """``s`` with every closed part set aside, in one pass. Where an opener fails the next closer of its
+        kind is looked up and remembered, so texts full of unclosed openers are read in linear time."""
+        parts: list[str] = []
+        closers: dict[str, int] = {}  # where the next closer of a kind is, len(s) if there is none
+        done = at = 0
+        while o := _OPENER.search(s, at):
+            kind = o.lastgroup and (o.lastgroup if o.lastgroup in ("comment", "table") else o[o.lastgroup].lower())
+            kind = kind[:3] if kind and kind[0] in "`~" else kind
+            dead = kind is not None and closers.get(kind, 0) == len(s)
+            m = (_ASIDE_UNCLOSED if dead else _ASIDE).match(s, o.start())
+            if kind and not dead and (m is None or m.lastgroup == "lone") and closers.get(kind, 0) < o.end():
+                closer = _closer(kind).search(s, o.end())
+                closers[kind] = closer.start() if closer else len(s)
+            if m is None:
+                at = o.end()
+                continue
+            parts += [s[done : m.start()], self._unclosed(m) if dead else self._aside(m)]
+            done = at = m.end()
+        return "".join(parts) + s[done:] if done else s
+
+    def _unclosed(self, m: re.Match) -> str:
+        """A fence without an end or an element closed in itself: marks, but nothing in them."""
+        self.mark()
+        return "\n" if m["lone"] is not None else ""
+
     def _aside(self, m: re.Match) -> str:
         kind = m.lastgroup
         g = m.group
@@ -270,6 +323,7 @@ class _Reader:
 
     def _html(self, s: str) -> None:
         stack: list[str] = []
+        numbers: list[int] = []  # the last number of each open list
         flow: list[str] = []
         block: list = []  # [element, kind, level, parts] of the open block
         cells: list[list[str]] = []
@@ -338,7 +392,7 @@ class _Reader:
                 if name in ("ul", "ol"):
                     close()
                     if name in stack:
-                        while stack.pop() != name:
+                        while numbers.pop() is not None and stack.pop() != name:
                             pass
                 continue
             if name in _HIDDEN:
@@ -349,6 +403,8 @@ class _Reader:
                 close()
                 if name in ("ul", "ol"):
                     stack.append(name)
+                    start = re.search(r"\bstart\s*=\s*[\"']?(\d{1,9})", m["attrs"] or "")
+                    numbers.append(int(start[1]) - 1 if start else 0)
                 elif name == "table":
                     end_table()
                 elif name == "tr":
@@ -361,7 +417,10 @@ class _Reader:
                 block = [name, "heading", int(name[1]), []]
             elif name == "li":
                 self.out.found.add(LIST)
-                block = [name, "item", (max(1, len(stack)) - 1) * 2 + (bool(stack) and stack[-1] == "ol"), []]
+                ordered = bool(stack) and stack[-1] == "ol"
+                if ordered:
+                    numbers[-1] += 1
+                block = [name, "item", (max(1, len(stack)) - 1) * 2 + ordered, [f"{numbers[-1]}. "] if ordered else []]
             elif name in ("td", "th"):
                 block = [name, "cell", 0, []]
             else:
@@ -461,8 +520,8 @@ class _Reader:
                     flush()
                     self.mark()
                     found.add(LIST)
-                    for x in lines[i - 1 : run]:
-                        put("item", 1, x[2:].strip())
+                    for number, x in enumerate(lines[i - 1 : run], 1):
+                        put("item", 1, f"{number}. {x[2:].strip()}")
                     i = run
                     in_list = True
                     continue
@@ -513,7 +572,7 @@ class _Reader:
                 self.mark()
                 found.add(LIST)
                 indent = len(item[1].expandtabs(4)) // 2 + (len(item[2]) - 1 if c == "*" else 0)
-                put("item", indent * 2 + c.isdigit(), (item[3] or "") + item[4])
+                put("item", indent * 2 + c.isdigit(), (item[2][:-1] + ". " if c.isdigit() else "") + (item[3] or "") + item[4])
                 in_list = True
                 continue
             if c == ">":
@@ -557,7 +616,7 @@ class _Reader:
             self.mark()
             s = s[front.end() :]
         if _ASIDE_NEEDS.search(s):
-            s = _ASIDE.sub(self._aside, s)
+            s = self._set_aside(s)
         if "<" in s and "://" in s:
             s = self._sub(_AUTOLINK, r"\1", s)
         s = self._inline(s)
@@ -592,7 +651,7 @@ def written(r: Rendered) -> str:
         if kind == "heading":
             line = f"{'#' * max(1, level)} {text}"
         elif kind == "item":
-            line = f"{'  ' * (level // 2)}{'1.' if level % 2 else '-'} {text}"
+            line = "  " * (level // 2) + (text if level % 2 else f"- {text}")
         elif kind == "code":
             line = f"```\n{text}\n```"
         elif kind == "formula":
@@ -633,6 +692,18 @@ def clean_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def markup_kinds(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, kind): 'any' for each marked document, and one row per kind in it."""
-    seen = clean_documents(docs, key, text).filter("marked")
-    return seen.select(key, F.explode(F.array_union(F.array(F.lit("any")), F.col("kinds"))).alias("kind")).distinct()
+    """(key, kind): 'any' for each marked document, and one row per kind in it. Texts are parsed, not written out."""
+    key_type = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, kinds = [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                r = parse(t)
+                if r.marked:
+                    found = ["any", *sorted(r.found)]
+                    take += [i] * len(found)
+                    kinds += found
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(kinds, pa.string())], [key, "kind"])
+
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {key_type}, kind string").distinct()

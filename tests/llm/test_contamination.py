@@ -1,6 +1,7 @@
 """Leaked evaluation passages against a plain search."""
 
 import random
+import time
 
 from noteweave.llm import contamination as C
 
@@ -48,6 +49,23 @@ def test_words_that_fold_beyond_lower_case():
             assert found == 7 and n == 16 and ("é " + text)[start:end].startswith("Under low") and ("é " + text)[start:end].endswith("northern")
 
 
+def test_what_markup_holds_is_read_as_a_text_of_its_own():
+    s = C.Scanner([(7, ITEM)])
+    long = "word " * 40
+    for text in (f"a <ref name='n'>{ITEM}</ref> b", f"<!-- {ITEM} -->", f"{{{{cite|title={ITEM}}}}}", f"<img alt='{ITEM}'>", f"a <ref>{long}{ITEM}</ref> b"):
+        ((item, start, end, n),) = s.hits(text)
+        assert item == 7 and n == 16 and text[start:end].startswith("Under low") and text[start:end].endswith("northern")
+    for hidden in (f"<ref>{long}</ref>", f"<!-- {long} -->", f"{{{{note|{long}}}}}", "[^" + "x" * 90 + "]"):
+        assert [h[3] for h in s.hits(ITEM.replace("flooded", hidden + "flooded"))] == [16], hidden
+
+
+def test_open_ends_take_linear_time():
+    for opener in ("<!-- a ", "<ref>a ", "<sup>a "):
+        began = time.perf_counter()
+        assert len(C.words_of(opener * 50_000)) >= 50_000
+        assert time.perf_counter() - began < 5
+
+
 def test_offsets_lead_back_to_the_original():
     text = "x é " + ITEM.replace("low", "<b>low</b>") + " y"
     ((item, start, end, n),) = C.Scanner([(7, ITEM)]).hits(text)

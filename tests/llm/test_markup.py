@@ -1,5 +1,7 @@
 """Rendering of marked-up texts."""
 
+import time
+
 import pytest
 
 from noteweave.llm import markup as M
@@ -55,3 +57,38 @@ def test_operator(spark):
     clean = {r.doc_id: r.clean for r in M.clean_documents(docs).collect()}
     assert clean == {1: "# a", 2: "b", 3: None, 4: "", None: "- a"}
     assert M.markup_kinds(docs.limit(0)).count() == 0
+
+
+def test_long_front_matter_is_no_content():
+    keys = "".join(f"key{i}: value\n# note {i}\n" for i in range(400))
+    r = M.parse(f"---\n{keys}---\nplain words\n")
+    assert r.found == set() and M.written(r) == "plain words"
+
+
+def test_numbers_of_items_are_kept():
+    assert M.written(M.parse("3. three\n4) four\n10. ten\n")) == "3. three\n4. four\n10. ten"
+    assert M.written(M.parse("<ol start='5'><li>a<li>b</ol><ol><li>c</ol>")) == "5. a\n6. b\n1. c"
+    assert M.written(M.parse("# a\n# b\n")) == "1. a\n2. b"
+
+
+def test_an_opener_that_fails_does_not_hide_a_later_one():
+    assert M.parse("```a`b\ntext\n\n```\ncode\n```\n").found == {"code"}
+    assert M.parse("<pre <b>x\n<pre>code</pre>").found == {"code"}
+    assert M.parse("\\begin{align} x \\end{alig} \\begin{equation} y \\end{equation}").found == {"formula"}
+
+
+@pytest.mark.parametrize("opener", ["\\begin{align} x ", "```\nx\n", "~~~ a\n", "~~~~ a b\n", "<pre> x ", "<!-- x ", "{|\n", "\\[ x ", "``` a`b\n"])
+def test_unclosed_openers_take_linear_time(opener):
+    def took(n):
+        began = time.perf_counter()
+        M.parse(opener * n)
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(40_000) < 30 * max(took(4_000), 0.004)
+
+
+def test_kinds_without_writing(spark):
+    docs = spark.createDataFrame([(1, "# a\n- b"), (1, "# a\n- b"), (2, "plain"), (3, None), (4, "")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in M.markup_kinds(docs).collect()) == [(1, "any"), (1, "heading"), (1, "list")]
+    assert M.markup_kinds(docs.limit(0)).count() == 0
