@@ -4,8 +4,10 @@ Each source is shuffled by hash and cut into blocks of equal tokens. Points of
 the golden-ratio sequence fall through the cumulative weights of a mix and
 name the source of each slot; the slots of a source are ranked, and the slot
 of rank r takes block r of the source, beginning again when it is used up, at
-most ``max_repeats`` times. Every prefix of the schedule has about the wanted
-shares.
+most ``max_repeats`` times. Documents stay whole: each goes to the block its
+middle token lies in, so the tokens of the first r blocks are right to within
+half a document at either end. Every prefix of the schedule has about the
+wanted shares.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteweave.session import cut
+from noteweave.session import BROADCAST_ROWS, cut
 
 #: The public vocabulary tokens are counted with; pass another path to change it.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Slots of a schedule: shares come out to about one part in so many.
+#: Least slots of a schedule: shares come out to about one part in so many.
 N_SLOTS = 20_000
+#: Most tokens of a block; a larger total gets more slots.
+BLOCK_TOKENS = 1_000_000
 #: Rows a window of the running totals is to hold.
 BUCKET_ROWS = 50_000
 GOLDEN = (math.sqrt(5) - 1) / 2
@@ -74,7 +78,7 @@ def running_total(df: DataFrame, group: str, bucket: str, order: list[str], valu
     return inside.join(sums, [group, bucket]).withColumn(out, F.col("__b") + F.col("__w")).drop("__b", "__w")
 
 
-def _plan(weights: list[tuple[str, float, int]], tokens: dict[str, int], n_slots: int) -> tuple[list[tuple[str, float, int, int]], float, int]:
+def _plan(weights: list[tuple[str, float, int]], tokens: dict[str, int], n_slots: int, block_tokens: int = BLOCK_TOKENS) -> tuple[list[tuple[str, float, int, int]], float, int]:
     """([(source, share of the schedule, max_repeats, tokens)], tokens of a block, slots) of one mix.
 
     The total is the largest at which every source that has tokens reaches its
@@ -86,21 +90,25 @@ def _plan(weights: list[tuple[str, float, int]], tokens: dict[str, int], n_slots
     if not there:
         return [], 1.0, 0
     total = min(r * t * whole / share for _, share, r, t in there)
-    return [(s, share / whole, r, t) for s, share, r, t in there], max(1.0, total / n_slots), min(n_slots, int(total))
+    n = max(n_slots, math.ceil(total / block_tokens))
+    return [(s, share / whole, r, t) for s, share, r, t in there], max(1.0, total / n), min(n, int(total))
 
 
-def schedule(docs: DataFrame, weights: DataFrame, n_slots: int = N_SLOTS, path: str = TOKENIZER, seed: int = 17) -> DataFrame:
+def schedule(docs: DataFrame, weights: DataFrame, n_slots: int = N_SLOTS, path: str = TOKENIZER, seed: int = 17, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(mix, slot, source, doc_id, repeat_no, n_tokens): the chosen documents in order.
 
     repeat_no counts from 0 and stays below max_repeats of the source in the
     mix. Documents without a listed source are not used; a listed source
     without tokens gets nothing. Rows of ``weights`` with a NULL mix, source
     or share are ignored, repeated rows count once. Documents are shuffled by
-    a hash of their key, so the result is the same on every run. ``weights``
-    is a table written by hand and is collected.
+    a hash of their key, so the result is the same on every run. Of a block,
+    at most ``block_tokens`` tokens, any order will do. ``weights`` is a table
+    written by hand and is collected; slots, a number of their own that grows
+    with the tokens, are only sent about while they are few.
     """
     rows = weights.select("mix", "source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).dropna().distinct().collect()
-    counted = cut(count_tokens(docs.join(F.broadcast(weights.select("source").dropna().distinct()), "source", "left_semi"), path=path))
+    listed = weights.select("source").dropna().distinct()
+    counted = cut(count_tokens(docs.join(F.broadcast(listed) if len(rows) <= BROADCAST_ROWS else listed, "source", "left_semi"), path=path))
     totals = {r["source"]: (r["t"], r["n"]) for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     bits = max(0, math.ceil(math.log2(max(1, max((n for _, n in totals.values()), default=1) / BUCKET_ROWS))))
     mixed = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 1)
@@ -108,11 +116,12 @@ def schedule(docs: DataFrame, weights: DataFrame, n_slots: int = N_SLOTS, path:
     placed = running_total(placed, "source", "__k", ["__h", "doc_id"], "n_tokens", "before").select("doc_id", "source", "n_tokens", "before")
 
     spark = docs.sparkSession
-    uses, slots = None, None
+    uses, slots, n_used = None, None, 0
     for mix in sorted({r["mix"] for r in rows}):
-        plan, block, used = _plan([(r["source"], r["target_share"], r["max_repeats"]) for r in rows if r["mix"] == mix], {s: t for s, (t, _) in totals.items()}, n_slots)
+        plan, block, used = _plan([(r["source"], r["target_share"], r["max_repeats"]) for r in rows if r["mix"] == mix], {s: t for s, (t, _) in totals.items()}, n_slots, block_tokens)
         if not plan:
             continue
+        n_used += used
         point = (F.col("id") + 0.5) * F.lit(GOLDEN)
         edge, pick = 0.0, None
         for s, share, _, _ in plan:
@@ -123,14 +132,13 @@ def schedule(docs: DataFrame, weights: DataFrame, n_slots: int = N_SLOTS, path:
         own = running_total(own, "source", "__k", ["slot"], "__one", "rank").select("mix", "slot", "source", F.col("rank").cast("long").alias("rank"))
         slots = own if slots is None else slots.unionByName(own)
         facts = spark.createDataFrame([(s, r, t) for s, _, r, t in plan], "source string, repeats int, total bigint")
-        use = placed.join(F.broadcast(facts), "source").withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
-        at = F.floor((F.col("repeat_no") * F.col("total") + F.col("before")) / F.lit(block))
+        use = placed.join(F.broadcast(facts) if len(plan) <= BROADCAST_ROWS else facts, "source").withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
+        at = F.floor((F.col("repeat_no") * F.col("total") + F.col("before") + F.col("n_tokens") / 2) / F.lit(block))
         use = use.select(F.lit(mix).alias("mix"), "source", "doc_id", "repeat_no", "n_tokens", at.cast("long").alias("rank"))
         uses = use if uses is None else uses.unionByName(use)
     if uses is None:
         return counted.limit(0).select(F.lit("").alias("mix"), F.lit(0).cast("long").alias("slot"), "source", "doc_id", F.lit(0).alias("repeat_no"), "n_tokens")
-    # slots are few and fixed in number: n_slots for each mix
-    return uses.join(F.broadcast(slots), ["mix", "source", "rank"]).select("mix", "slot", "source", "doc_id", "repeat_no", "n_tokens")
+    return uses.join(F.broadcast(slots) if n_used <= BROADCAST_ROWS else slots, ["mix", "source", "rank"]).select("mix", "slot", "source", "doc_id", "repeat_no", "n_tokens")
 
 
 def shares(chosen: DataFrame, weights: DataFrame) -> DataFrame:

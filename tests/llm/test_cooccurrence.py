@@ -35,6 +35,15 @@ def test_against_brute_force(spark, most):
         assert got(C.item_pairs(df, "a", "b", least, lift, most)) == brute(rows, least, lift)
 
 
+def test_large_baskets_collapse_too(spark, monkeypatch):
+    rows = [(r, b) for r in range(20) for b in range(100, 100 + 90 + r % 3)] + [(r, b) for r in range(50, 60) for b in range(100, 103)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    want = brute(rows, 1, 0.0)
+    assert got(C.item_pairs(df, "a", "b")) == want
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 0)
+    assert got(C.item_pairs(df, "a", "b")) == want
+
+
 def test_measures(spark):
     df = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 11), (3, 12), (4, 10)], "a int, b int")
     r = C.item_pairs(df, "a", "b").first()
