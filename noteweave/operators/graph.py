@@ -118,11 +118,12 @@ def clustering(e: DataFrame, low: int = 2, high: int = 400) -> DataFrame:
     return out.select(F.col("u").alias("node"), F.col("d").alias("degree"), "closed", F.round(2 * F.col("closed") / (F.col("d") * (F.col("d") - 1)), 9).alias("coefficient"))
 
 
-def components(nodes: DataFrame, e: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, e: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable from each node.
 
-    Large-star and small-star steps in turn, a number of rounds logarithmic in
-    the diameter; each round is written to the checkpoint folder. Minima are
+    Large-star and small-star steps in turn until nothing changes, a number of
+    rounds logarithmic in the nodes; each round is written to the checkpoint
+    folder. Minima are
     taken map-side first, and after a large step a hub's edges point at few
     nodes, so hot nodes cool down as it goes.
     """
@@ -140,7 +141,7 @@ def components(nodes: DataFrame, e: DataFrame, max_rounds: int = 60) -> DataFram
         return out.filter("u <> v").distinct()
 
     mark = None
-    for _ in range(max_rounds):
+    while True:
         now = cut(small(large(now)))
         row = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (row["n"], row["h"]) == mark:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteweave.functions import text as T
+from noteweave.session import cut
 
 
 def living(notes: DataFrame) -> DataFrame:
@@ -46,28 +47,46 @@ def phantom_stem(raw: Column) -> Column:
     return F.element_at(F.split(T.normalize(raw), "/"), -1)
 
 
+def _above(folder: Column) -> Column:
+    """The folders above a folder and itself, as (level, dir); the vault is level 0."""
+    parts = F.split(folder, "/")
+    root = F.array(F.struct(F.lit(0).alias("level"), F.lit("").alias("dir")))
+    below = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("level"), F.array_join(F.slice(parts, 1, i), "/").alias("dir")))
+    return F.when(folder == "", root).otherwise(F.concat(root, below))
+
+
 def resolve_names(asked: DataFrame, names: DataFrame) -> DataFrame:
     """(target, source_dir, dst_key, dst_path, ambiguous, pass) of distinct name targets that hit.
 
-    Candidates are narrowed per pass before the passes are compared, with
-    partial aggregation on the map side, so a name many notes share costs one
-    row per task and target.
+    Names are grouped once: by exact name for the first two passes, by folded
+    name for the others, stems apart from aliases. A target takes the first
+    group that exists. Of a group with one path nothing is left to choose. Of
+    the others the nearest path is looked up in the folders above the source:
+    each group keeps, for every folder above its shallowest notes, the
+    smallest path below, and for every folder its own smallest path. So a name
+    that stands in every folder costs rows in proportion to its notes and
+    askers times their depth, never notes times askers.
     """
-    c = names.select("note_key", "path", "name", "is_alias", T.fold(F.col("name")).alias("__fold"))
-    hit = asked.withColumn("__fold", T.fold(F.col("target"))).join(c, "__fold")
-    exact = F.col("name") == F.col("target")
-    rank = F.when(exact & ~F.col("is_alias"), 1).when(exact, 2).when(~F.col("is_alias"), 3).otherwise(4)
     folder = T.dir_of(F.col("path"))
-    near = F.struct(
-        (folder != F.col("source_dir")).alias("far"),
-        T.depth_of(F.col("path")).alias("depth"),
-        (-T.shared_dirs(folder, F.col("source_dir"))).alias("apart"),
-        F.col("path").alias("path"),
-        F.col("note_key").alias("note_key"),
-    )
-    per = hit.groupBy("target", "source_dir", rank.alias("pass")).agg(F.min(near).alias("near"), (F.min("path") != F.max("path")).alias("ambiguous"))
-    best = per.groupBy("target", "source_dir").agg(F.min(F.struct("pass", "near", "ambiguous")).alias("b"))
-    return best.select("target", "source_dir", F.col("b.near.note_key").alias("dst_key"), F.col("b.near.path").alias("dst_path"), F.col("b.ambiguous").alias("ambiguous"), F.col("b.pass").alias("pass"))
+    fold = T.fold(F.col("name"))
+    kinds = F.array(F.struct(F.lit("=").alias("kind"), F.col("name").alias("key"), F.when(F.col("is_alias"), 2).otherwise(1).alias("pass")), F.struct(F.lit("~").alias("kind"), fold.alias("key"), F.when(F.col("is_alias"), 4).otherwise(3).alias("pass")))
+    named = cut(names.select("path", "note_key", F.explode(kinds).alias("g")).select("g.*", F.struct("path", "note_key").alias("at"), folder.alias("dir"), T.depth_of(F.col("path")).alias("depth")))
+    group = ["kind", "key", "pass"]
+    groups = named.groupBy(*group).agg(F.min("at").alias("only"), (F.min("at.path") != F.max("at.path")).alias("ambiguous"), F.min("depth").alias("least"))
+    wanted = F.array(F.struct(F.lit("=").alias("kind"), F.col("target").alias("key")), F.struct(F.lit("~").alias("kind"), T.fold(F.col("target")).alias("key")))
+    hit = asked.select("target", "source_dir", F.explode(wanted).alias("k")).select("target", "source_dir", "k.*").join(groups, ["kind", "key"])
+    first = cut(hit.groupBy("target", "source_dir").agg(F.min(F.struct("pass", "kind", "key", "only", "ambiguous")).alias("b")).select("target", "source_dir", "b.*"))
+
+    many = named.join(groups.filter("ambiguous").select(*group, "least"), group)
+    own = many.select(*group, F.lit(1 << 20).alias("level"), "dir", "at")
+    above = many.filter(F.col("depth") == F.col("least")).select(*group, F.explode(_above(F.col("dir"))).alias("f"), "at").select(*group, "f.level", "f.dir", "at")
+    places = own.unionByName(above).groupBy(*group, "level", "dir").agg(F.min("at").alias("at"))
+    look = F.concat(F.array(F.struct(F.lit(1 << 20).alias("level"), F.col("source_dir").alias("dir"))), _above(F.col("source_dir")))
+    seek = first.filter("ambiguous").select("target", "source_dir", *group, F.explode(look).alias("f")).select("target", "source_dir", *group, "f.level", "f.dir")
+    near = seek.join(places, [*group, "level", "dir"]).groupBy("target", "source_dir", "pass").agg(F.max_by("at", "level").alias("at"))
+    single = first.filter("NOT ambiguous").select("target", "source_dir", "pass", F.col("only").alias("at"), "ambiguous")
+    best = single.unionByName(near.select("target", "source_dir", "pass", "at", F.lit(True).alias("ambiguous")))
+    return best.select("target", "source_dir", F.col("at.note_key").alias("dst_key"), F.col("at.path").alias("dst_path"), "ambiguous", "pass")
 
 
 def resolve_paths(asked: DataFrame, notes: DataFrame) -> DataFrame:
@@ -102,7 +121,7 @@ def resolved_links(links: DataFrame, notes: DataFrame, aliases: DataFrame) -> Da
     'phantom:' and its folded stem, with path ''. Repeated rows stay repeated.
     """
     asked = asked_targets(links)
-    pairs = asked.select("target", "source_dir").distinct()
+    pairs = cut(asked.select("target", "source_dir").distinct())
     by_path = T.is_path(F.col("target"))
     found = resolve_names(pairs.filter(~by_path), candidates(notes, aliases)).unionByName(resolve_paths(pairs.filter(by_path), notes))
     out = asked.join(found, ["target", "source_dir"], "left")

@@ -159,7 +159,7 @@ def tree_of(levels: DataFrame, pos: DataFrame) -> DataFrame:
     return cells.unionByName(leaf)
 
 
-def lod_cut(tree: DataFrame, zoom: float, split_px: float, budget: int, box: tuple[float, float, float, float] | None = None, max_depth: int = 64) -> DataFrame:
+def lod_cut(tree: DataFrame, zoom: float, split_px: float, budget: int, box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """The cells shown: starting at the top, visible cells that look larger than split_px are opened
     while the cut stays within the budget; the largest classes of round(20 log2 r) go first.
 
@@ -172,7 +172,7 @@ def lod_cut(tree: DataFrame, zoom: float, split_px: float, budget: int, box: tup
     level = tree.filter("parent = ''")
     left = budget - level.count()
     closed = None
-    for _ in range(max_depth):
+    while True:
         want = level.join(kids, "cell", "left").withColumn("class", F.when((F.col("k") > 0) & (F.col("radius") * zoom > split_px), F.round(20 * F.log2("radius")).cast("int")))
         cost = want.filter("class IS NOT NULL").groupBy("class").agg(F.sum(F.col("k") - 1).alias("cost"))
         spent = F.sum("cost").over(Window.orderBy(F.col("class").desc()))  # one row per class of radius
@@ -185,19 +185,17 @@ def lod_cut(tree: DataFrame, zoom: float, split_px: float, budget: int, box: tup
             break
         left -= price["spent"]
         level = cut(tree.join(opened.select(F.col("cell").alias("parent")), "parent").select(*tree.columns))
-    else:
-        closed = closed.unionByName(level)
     return closed
 
 
-def cut_of_notes(tree: DataFrame, shown: DataFrame, max_depth: int = 64) -> DataFrame:
+def cut_of_notes(tree: DataFrame, shown: DataFrame) -> DataFrame:
     """(node, cell): the shown cell that stands for each note, by walking up from the notes."""
     up = tree.select(F.col("cell").alias("at"), F.col("parent").alias("next"))
     marks = shown.select(F.col("cell").alias("at"), F.lit(True).alias("hit"))
     walk = tree.filter("node IS NOT NULL").select("node", F.col("cell").alias("at"))
     depth = tree.agg(F.max("depth")).first()[0] or 0
     done = None
-    for _ in range(min(max_depth, depth + 1)):
+    for _ in range(depth + 1):
         step = cut(walk.join(marks, "at", "left"))
         here = step.filter("hit").select("node", F.col("at").alias("cell"))
         done = here if done is None else done.unionByName(here)
@@ -219,14 +217,14 @@ def resolve_zoom(tree: DataFrame, split_px: float) -> DataFrame:
     return tree.filter("node IS NOT NULL").join(up, "parent").select("node", F.when(F.col("r") > 0, F.lit(split_px) / F.col("r")).otherwise(0.0).alias("zoom"))
 
 
-def descent_travel(tree: DataFrame, max_depth: int = 64) -> DataFrame:
+def descent_travel(tree: DataFrame) -> DataFrame:
     """(node, travel): the widest jump between a cell's centre and its parent's on the way down to each note."""
     up = tree.select(F.col("cell").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"))
     jump = tree.join(up, "parent").select("cell", F.sqrt(F.pow(F.col("x") - F.col("px"), F.lit(2)) + F.pow(F.col("y") - F.col("py"), F.lit(2))).alias("jump"))
     step = cut(tree.join(jump, "cell", "left").select(F.col("cell").alias("at"), F.col("parent").alias("next"), F.coalesce("jump", F.lit(0.0)).alias("jump")))
     walk = tree.filter("node IS NOT NULL").select("node", F.col("cell").alias("at"), F.lit(0.0).alias("travel"))
     depth = tree.agg(F.max("depth")).first()[0] or 0
-    for _ in range(min(max_depth, depth)):
+    for _ in range(depth):
         walk = cut(walk.join(step, "at", "left").select("node", F.coalesce("next", F.lit("")).alias("at"), F.greatest("travel", F.coalesce("jump", F.lit(0.0))).alias("travel")))
     return walk.select("node", "travel")
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,8 +123,22 @@ def import_report(pages: DataFrame) -> DataFrame:
 
 
 def write_vault(articles: DataFrame, path: str) -> None:
-    """Articles (title, body, position) as a folder of markdown files, one per stem; the first position wins."""
-    stem = safe_stem(F.col("title"))
-    first = articles.withColumn("stem", stem).groupBy("stem").agg(F.min_by(F.struct("title", "body"), "position").alias("p"))
-    text = F.concat(F.lit("# "), F.col("p.title"), F.lit("\n\n"), F.col("p.body"))
-    first.select("stem", text.alias("value")).write.mode("overwrite").partitionBy("stem").text(path)
+    """Articles (title, body, position) as markdown files ``stem.md`` of a folder; of one stem the first position wins.
+
+    The folder has to be one every executor can write to. A file is written
+    beside its place and moved there, so a task that runs again changes
+    nothing and no reader sees half a file. Repeated positions go by title.
+    """
+    os.makedirs(path, exist_ok=True)
+    first = articles.withColumn("stem", safe_stem(F.col("title"))).filter("stem <> ''").groupBy("stem").agg(F.min_by(F.struct("title", "body"), F.struct("position", "title", "body")).alias("p"))
+    rows = first.select("stem", F.concat(F.lit("# "), F.col("p.title"), F.lit("\n\n"), F.coalesce("p.body", F.lit(""))).alias("text"))
+
+    def write(part: Iterator) -> None:
+        for stem, text in part:
+            whole = os.path.join(path, f"{stem}.md")
+            half = f"{whole}.{os.getpid()}.part"
+            with open(half, "w", encoding="utf-8", newline="") as f:
+                f.write(text)
+            os.replace(half, whole)
+
+    rows.foreachPartition(write)

@@ -8,19 +8,35 @@ from pyspark.sql import functions as F
 from noteweave.functions import text as T
 
 
+# Both note extensions in any case.
+_NOTES = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in ext) for ext in ("md", "markdown")) + "}"
+
+
+def count_files(spark: SparkSession, root: str) -> int:
+    """Files below a root, hidden ones left out; names alone are read."""
+    return _listed(spark, root).count()
+
+
 def listing(spark: SparkSession, root: str, most: int = 10_000_000) -> DataFrame:
     """(path, kind, size, mtime) of every file below a root but hidden ones; contents are not read.
 
     kind is note, media or other. Spark's own listing also hides names that
     begin with '_'; folders that need them have to be listed another way.
-    ``most`` is the runaway guard of a scan: no more files are taken.
+    ``most`` is the runaway guard of a scan: the files are counted first, and
+    a root that holds more is an error; no file is left out in silence.
     """
+    if (n := count_files(spark, root)) > most:
+        raise ValueError(f"{root} holds {n} files, more than {most}")
+    return _listed(spark, root)
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root if root.startswith("file:") else "file:" + root
     path = T.vault_relative(F.regexp_replace("path", "^file:/*", "file:/"), "file:/" + base.removeprefix("file:").lstrip("/"))
     rows = files.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).filter("path IS NOT NULL")
     kind = F.when(T.is_media_file(F.col("path")), "media").when(T.is_note_file(F.col("path")), "note").otherwise("other")
-    return rows.filter(~F.col("path").rlike(r"(^|/)\.")).select("path", kind.alias("kind"), "size", "mtime").limit(most)
+    return rows.filter(~F.col("path").rlike(r"(^|/)\.")).select("path", kind.alias("kind"), "size", "mtime")
 
 
 def unread(seen: DataFrame, stored: DataFrame) -> DataFrame:
@@ -32,7 +48,7 @@ def unread(seen: DataFrame, stored: DataFrame) -> DataFrame:
 
 def contents(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
     """(note_key, text, hash) of the wanted paths; bytes are kept as they are, CR included."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,markdown,MD,Markdown}").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _NOTES).load(root)
     base = "file:/" + root.removeprefix("file:").lstrip("/")
     path = T.vault_relative(F.regexp_replace("path", "^file:/*", "file:/"), base)
     rows = files.filter(F.col("length") <= T.MAX_FILE).select(path.alias("path"), "content")

@@ -237,3 +237,10 @@ def test_note_graph_covers_every_living_note(spark):
     assert {r.node for r in Q.region_labels(spark, DATA).collect()} == found
     bottom = Q.coarsening_ladder(spark, DATA).filter("level = 0").first()
     assert round(bottom.groups * bottom.mean_size) == len(found)
+
+
+def test_components_of_a_long_path_reach_the_fixed_point(spark):
+    n = 3000
+    e = spark.createDataFrame([(i, i + 1) for i in range(n)], "a int, b int")
+    nodes = spark.range(n + 1).select(F.col("id").cast("int").alias("node"))
+    assert G.components(nodes, e).select("component").distinct().collect()[0][0] == 0

@@ -86,3 +86,17 @@ def test_completion_takes_marks_literally(spark):
     names = lambda p, k=9: [r.name for r in query.complete(notes, aliases, p, k).orderBy("rank").collect()]
     assert names("100") == ["100% x", "100a", "100 alias"] and names("100%") == ["100% x"] and names("AB_") == ["ab_c"] and names("100", 1) == ["100% x"]
     assert names("x" * 600) == []
+
+
+def test_a_name_in_every_folder_costs_rows_in_proportion(spark):
+    """One stem in n folders, asked from n others: rows in the joins grow with n, not with n squared."""
+    n = 400
+    names = spark.createDataFrame([(f"d{i}/e/index.md", f"d{i}/e/index.md", "index", False) for i in range(n)] + [("x/index.md", "x/index.md", "index", False)], "note_key string, path string, name string, is_alias boolean")
+    asked = spark.createDataFrame([("index", f"d{i}/e") for i in range(0, n, 2)] + [("index", f"d{i}/f/g") for i in range(n)] + [("INDEX", "x/y")], "target string, source_dir string")
+    got = {(r.target, r.source_dir): (r.dst_path, r.ambiguous, r["pass"]) for r in resolve.resolve_names(asked, names).collect()}
+    assert got["index", "d4/e"] == ("d4/e/index.md", True, 1) and got["index", "d5/f/g"] == ("x/index.md", True, 1) and got["INDEX", "x/y"] == ("x/index.md", True, 3)
+    assert len(got) == n + n // 2 + 1
+    joined = resolve.resolve_names(asked, names)
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -38,8 +38,27 @@ def test_wiki_dump(spark, tmp_path):
 def test_written_vault(spark, tmp_path):
     arts = spark.createDataFrame([("A/b", "one", 2), ("A-b", "zero", 1), ("C", "x", 3)], "title string, body string, position int")
     W.write_vault(arts, str(tmp_path / "out"))
-    rows = {r.stem: r.value for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()}
-    assert rows["A-b"].startswith("# A-b\n\nzero") and len(rows) == 2
+    files = {f.name: f.read_text(encoding="utf-8") for f in (tmp_path / "out").iterdir()}
+    assert files == {"A-b.md": "# A-b\n\nzero", "C.md": "# C\n\nx"}
+    W.write_vault(arts, str(tmp_path / "out"))
+    assert {r.note_key for r in V.contents(spark, str(tmp_path / "out"), V.listing(spark, str(tmp_path / "out"))).collect()} == set(files)
+
+
+def test_extensions_in_any_case_are_read(spark, tmp_path):
+    names = {"a.md", "b.MD", "c.Md", "d.mD", "e.MARKDOWN", "f.Markdown", "g.markDown"}
+    for name in names | {"h.mdx", "i.txt"}:
+        (tmp_path / name).write_text("x")
+    seen = V.listing(spark, str(tmp_path))
+    assert {r.path for r in seen.filter("kind = 'note'").collect()} == names
+    assert {r.note_key for r in V.contents(spark, str(tmp_path), seen.filter("kind = 'note'")).collect()} == names
+
+
+def test_a_root_with_too_many_files_is_an_error(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}.md").write_text("x")
+    assert V.count_files(spark, str(tmp_path)) == 5 and V.listing(spark, str(tmp_path), 5).count() == 5
+    with pytest.raises(ValueError):
+        V.listing(spark, str(tmp_path), 4)
 
 
 @pytest.mark.parametrize("spec, want", [("synth:10", (10, "scale_free", 4.0)), ("synth:5:chain", (5, "chain", 4.0)), ("synth:5:islands:99", (5, "islands", 64.0))])
