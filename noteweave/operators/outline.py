@@ -10,18 +10,20 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteweave.functions.text import fold, heading_anchor
+from noteweave.functions.text import content_item_id, fold, heading_anchor, section_id
 
 _RANK = {"heading": 0, "block": 1, "tag": 2, "embed": 3}
 
 
 def items(headings: DataFrame, blocks: DataFrame, tags: DataFrame, links: DataFrame) -> DataFrame:
-    """(note_key, item, kind, parent, level, text, line, weight, ordinal): the items of each note.
+    """(note_key, item, kind, parent, level, text, line, weight, ordinal, id): the items of each note.
 
     item counts from 1 in reading order (0 is the root), ties on a line go
     heading, block, tag, embed. A heading hangs below the nearest earlier
     heading of smaller level, everything else below the last heading. ordinal
-    counts equal kinds below one parent from 0.
+    counts equal kinds below one parent from 0. id stays the same when lines
+    move: a heading is known by its folded text and how many of that text
+    stand before it, other items by their heading, kind and ordinal.
     """
     h = headings.select("note_key", F.lit("heading").alias("kind"), F.lit(_RANK["heading"]).alias("rank"), "ord", "line", F.least(F.greatest("level", F.lit(1)), F.lit(6)).alias("level"), "text", F.lit(1).alias("weight"))
     b = blocks.select("note_key", "kind", F.lit(_RANK["block"]).alias("rank"), "ord", F.col("line_start").alias("line"), F.lit(0).alias("level"), F.lit("").alias("text"), F.greatest("weight", F.lit(1)).alias("weight"))
@@ -38,7 +40,22 @@ def items(headings: DataFrame, blocks: DataFrame, tags: DataFrame, links: DataFr
     above = F.greatest(*[F.when(own > k, F.coalesce(f"__h{k}", F.lit(0))).otherwise(0) for k in range(1, 7)])
     every = every.withColumn("parent", above).drop(*[f"__h{k}" for k in range(1, 7)])
     ordinal = F.row_number().over(Window.partitionBy("note_key", "parent", "kind").orderBy("item")) - 1
-    return every.withColumn("ordinal", ordinal).select("note_key", "item", "kind", "parent", "level", "text", "line", "weight", "ordinal")
+    every = every.withColumn("ordinal", ordinal)
+    is_heading = F.col("kind") == "heading"
+    same = F.row_number().over(Window.partitionBy("note_key", "kind", fold(F.col("text"))).orderBy("item")) - 1
+    every = every.withColumn("__s", F.when(is_heading, section_id(fold(F.col("text")), same)))
+    section = F.coalesce(F.last("__s", ignorenulls=True).over(Window.partitionBy("note_key").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    every = every.withColumn("id", F.coalesce("__s", content_item_id(section, F.col("kind"), F.col("ordinal"))))
+    return every.select("note_key", "item", "kind", "parent", "level", "text", "line", "weight", "ordinal", "id")
+
+
+def with_roots(items: DataFrame, titles: DataFrame) -> DataFrame:
+    """``items`` with a root for each note of titles (note_key, title): item 0, id 0, kind root, no parent."""
+    root = titles.select(
+        "note_key", F.lit(0).alias("item"), F.lit("root").alias("kind"), F.lit(None).cast("int").alias("parent"), F.lit(0).alias("level"), F.col("title").alias("text"),
+        F.lit(0).alias("line"), F.lit(1).alias("weight"), F.lit(0).alias("ordinal"), F.lit(0).cast("long").alias("id"),
+    )
+    return root.unionByName(items)
 
 
 def section_links(items: DataFrame, links: DataFrame) -> DataFrame:

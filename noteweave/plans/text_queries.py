@@ -152,13 +152,18 @@ def _items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def outline_items(spark: SparkSession, d: str) -> DataFrame:
     items, _ = _items(spark, d)
-    return items.filter("note_key LIKE 'supplier/%'").select("note_key", "item", "kind", "parent", "level", "text", "line", "ordinal")
+    titles = shop.notes(spark, d).select("note_key", T.stem_of(F.col("note_key")).alias("title"))
+    titles = titles.withColumn("title", F.when(F.col("note_key").startswith("order/"), F.concat(F.lit("Order "), "title")).otherwise(F.col("title")))
+    return outline.with_roots(items, titles).select("note_key", "item", "kind", "parent", "level", "text", "line", "ordinal")
 
 
-def outline_items_all(spark: SparkSession, d: str) -> DataFrame:
-    """Items of every note; outline_items has those its SQL knows."""
+def outline_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids are positive, one for each item of a note, and stay when every line moves down by two."""
     items, _ = _items(spark, d)
-    return items.select("note_key", "item", "kind", "parent", "level", "text", "line", "ordinal")
+    moved = parse.scanned(shop.notes(spark, d).select("note_key", F.when(F.col("text").startswith("---"), F.col("text")).otherwise(F.concat(F.lit("\n\n"), "text")).alias("text")))
+    later = outline.items(parse.child(moved, "headings"), parse.child(moved, "blocks"), parse.child(moved, "tags"), parse.child(moved, "links"))
+    both = items.select("note_key", "item", "id").join(later.select("note_key", "item", F.col("id").alias("id2")), ["note_key", "item"], "full")
+    return both.agg(F.count(F.lit(1)).alias("n_items"), F.count_distinct("note_key", "id").alias("n_ids"), F.sum((F.col("id") <= 0).cast("int")).alias("n_not_positive"), F.sum((~F.col("id").eqNullSafe(F.col("id2"))).cast("int")).alias("n_changed"))
 
 
 def outline_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -167,13 +172,6 @@ def outline_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def heading_lines(spark: SparkSession, d: str) -> DataFrame:
-    n = _shop(spark, d)
-    asked = n.filter("note_key LIKE 'supplier/%'").select("note_key", F.explode(F.array(F.lit("LEDGER"), F.lit("ledger"), F.lit("nowhere"))).alias("heading"))
-    return outline.heading_lines(asked, parse.child(n, "headings"))
-
-
-def heading_lines_all(spark: SparkSession, d: str) -> DataFrame:
-    """Asked of every note; heading_lines asks those its SQL knows."""
     n = _shop(spark, d)
     asked = n.select("note_key", F.explode(F.array(F.lit("LEDGER"), F.lit("ledger"), F.lit("nowhere"))).alias("heading"))
     return outline.heading_lines(asked, parse.child(n, "headings"))
@@ -196,7 +194,7 @@ def shop_backlinks(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     path_functions, link_targets, candidate_names, resolve_names, resolve_paths, resolve_links, resolve_ambiguous, link_status, phantoms, note_counts,
     backlinks, backlink_groups, backlink_filter, complete_notes, completion_items, outbound, note_edges,
-    scan_notes, scan_headings, scan_tags, scan_blocks, scan_links, outline_items, outline_items_all, outline_edges, heading_lines, heading_lines_all, complete_headings, shop_backlinks,
+    scan_notes, scan_headings, scan_tags, scan_blocks, scan_links, outline_items, outline_ids, outline_edges, heading_lines, complete_headings, shop_backlinks,
 )}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
