@@ -94,6 +94,17 @@ def completion_items(rows: DataFrame, source_path: str, cap: int = 64) -> DataFr
     return rows.filter(F.col("rank") <= cap).select("rank", F.col("name").alias("label"), T.format_link(F.col("name"), way).alias("insert"), F.col("note_key").alias("detail"))
 
 
+def heading_items(rows: DataFrame, title: str, path: str, source_path: str, cap: int = 64) -> DataFrame:
+    """(rank, label, insert, detail): headings (text, level, line) of the note at ``path`` as links from a source note.
+
+    Labels are indented by level, detail is the path and the line counted from 1.
+    """
+    way = T.relative_path(T.dir_of(F.lit(source_path)), F.lit(path))
+    rank = F.row_number().over(Window.orderBy("line"))  # at most ``cap`` rows
+    top = rows.orderBy("line").limit(cap).withColumn("rank", rank)
+    return top.select("rank", F.concat(indent(F.col("level")), "text").alias("label"), T.format_heading_link(F.lit(title), F.col("text"), way).alias("insert"), F.concat(F.lit(path + ":"), (F.col("line") + 1).cast("string")).alias("detail"))
+
+
 def indent(level: Column) -> Column:
     """Blanks before a heading in a completion list."""
     return F.repeat(F.lit(" "), F.lit(2) * F.least(level - 1, F.lit(5)))

@@ -63,6 +63,30 @@ def retired(gone: DataFrame, resolved: DataFrame) -> DataFrame:
     return ghost.select(F.concat(F.lit("phantom:"), T.fold(F.col("stem"))).alias("note_key"), "stem", "inbound")
 
 
+def upserts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(note_key, path, action): what becomes of each incoming note: updated where its path is stored,
+    else promoted where a placeholder of its folded stem is, else inserted.
+
+    Both tables have note_key, path and stem_fold, ``stored`` also phantom.
+    """
+    new = incoming.select("note_key", "path", "stem_fold").distinct()
+    paths = stored.filter("NOT phantom").select("path", F.lit(True).alias("__known")).distinct()
+    ghosts = stored.filter("phantom").select("stem_fold", F.lit(True).alias("__ghost")).distinct()
+    j = new.join(paths, "path", "left").join(ghosts, "stem_fold", "left")
+    action = F.when(F.col("__known"), "updated").when(F.col("__ghost"), "promoted").otherwise("inserted")
+    return j.select("note_key", "path", action.alias("action"))
+
+
+def purged(ghosts: DataFrame, needed: DataFrame) -> DataFrame:
+    """(stem): the stored placeholders no link needs any more, or whose stem cannot name a note.
+
+    needed are the placeholders of the present links (stem_fold).
+    """
+    idle = ghosts.select("stem").withColumn("stem_fold", T.fold(F.col("stem")))
+    left = idle.join(needed.select("stem_fold").distinct(), "stem_fold", "left_anti").select("stem")
+    return left.unionByName(ghosts.select("stem").filter(~T.is_note_like(F.col("stem")))).distinct()
+
+
 def same_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     """(src_key, same): do the two states hold the same links of each source, counted with repeats?"""
     count = lambda e, name: e.groupBy("src_key", "dst_key").agg(F.count(F.lit(1)).alias(name))
