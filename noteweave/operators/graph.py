@@ -173,15 +173,23 @@ def pooled_components(c: DataFrame, d: DataFrame) -> DataFrame:
 
 def hub_fragility(nodes: DataFrame, e: DataFrame, ks: tuple[int, ...] = (1, 2, 5, 10, 25, 50)) -> DataFrame:
     """(k, n_left, n_components, largest, largest_pct) after the k nodes of highest degree are removed."""
-    d = cut(degrees(nodes, e))
-    out = []
-    for k in ks:
-        top = d.orderBy(F.col("degree").desc(), "node").limit(k).select("node")  # k nodes
-        left = nodes.join(F.broadcast(top), "node", "left_anti")
-        kept = e.join(F.broadcast(top.withColumnRenamed("node", "a")), "a", "left_anti").join(F.broadcast(top.withColumnRenamed("node", "b")), "b", "left_anti")
-        report = component_report(components(left, kept))
-        out.append(report.select(F.lit(k).alias("k"), F.col("n_nodes").alias("n_left"), "n_components", "largest", "largest_pct"))
-    return reduce(DataFrame.unionByName, out)
+    k_of = {i: k for i, k in enumerate(ks)}
+    d = degrees(nodes, e)
+    top = d.orderBy(F.col("degree").desc(), "node").limit(max(ks)).collect()  # as many rows as nodes are removed
+    rank = {r["node"]: i for i, r in enumerate(sorted(top, key=lambda r: (-r["degree"], r["node"])))}
+    # one graph for each k beside the others, a node of graph i being node * len(ks) + i
+    gone = nodes.sparkSession.createDataFrame([(n, [i for i, k in k_of.items() if r >= k]) for n, r in rank.items()], f"node {nodes.schema['node'].dataType.simpleString()}, kept array<int>")
+    every = F.array(*[F.lit(i) for i in k_of])
+    kept = nodes.join(F.broadcast(gone), "node", "left").select(F.col("node").cast("long").alias("node"), F.coalesce("kept", every).alias("kept"))  # max(ks) rows
+    copies = cut(kept.select(F.explode("kept").alias("i"), "node").select((F.col("node") * len(ks) + F.col("i")).alias("node")))
+    lost = lambda end: F.broadcast(gone.select(F.col("node").alias(end), F.col("kept").alias(f"k{end}")))
+    links = e.select("a", "b").join(lost("a"), "a", "left").join(lost("b"), "b", "left")
+    links = links.select("a", "b", F.explode(F.array_intersect(F.coalesce("ka", every), F.coalesce("kb", every))).alias("i"))
+    links = links.select(*[(F.col(c).cast("long") * len(ks) + F.col("i")).alias(c) for c in ("a", "b")])
+    c = components(copies, links).withColumn("i", F.pmod("node", F.lit(len(ks))))
+    sizes = c.groupBy("i", "component").agg(F.count(F.lit(1)).alias("size"))
+    report = sizes.groupBy("i").agg(F.sum("size").alias("n_left"), F.count(F.lit(1)).alias("n_components"), F.max("size").alias("largest"))
+    return report.select(F.element_at(F.array(*[F.lit(k) for k in ks]), (F.col("i") + 1).cast("int")).alias("k"), "n_left", "n_components", "largest", F.round(100.0 * F.col("largest") / F.col("n_left"), 6).alias("largest_pct"))
 
 
 def folder_correlation(paths: DataFrame, c: DataFrame) -> DataFrame:
@@ -268,20 +276,28 @@ def partition_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumnRenamed("label", "old").join(b.withColumnRenamed("label", "new"), "node").groupBy("old", "new").agg(F.count(F.lit(1)).alias("n"))
 
 
-def notes_flipped(a: DataFrame, b: DataFrame) -> int:
-    """Nodes that change group when groups are matched greedily by overlap.
+def matched_groups(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(old, new, n): groups of two labelings matched one to one, greedily by overlap, ties to the smaller labels.
 
-    The overlap table is walked in order of n, then labels; it has a row for
-    each pair of groups that share a node.
+    In each round every pair that is the best of both its groups is taken and
+    the rows of both groups leave, which gives what one walk in order gives.
     """
-    old, new, kept, total = set(), set(), 0, 0
-    for r in partition_overlap(a, b).orderBy(F.col("n").desc(), "old", "new").toLocalIterator():
-        total += r["n"]
-        if r["old"] not in old and r["new"] not in new:
-            old.add(r["old"])
-            new.add(r["new"])
-            kept += r["n"]
-    return total - kept
+    left = cut(partition_overlap(a, b))
+    done = None
+    while not left.isEmpty():
+        rank = F.struct(F.col("n"), -F.col("old"), -F.col("new"))
+        best = lambda c: left.groupBy(c).agg(F.max(rank).alias(f"best_{c}"))
+        j = left.join(best("old"), "old").join(best("new"), "new")
+        taken = cut(j.filter((rank == F.col("best_old")) & (rank == F.col("best_new"))).select("old", "new", "n"))
+        done = taken if done is None else done.unionByName(taken)
+        left = cut(left.join(taken.select("old"), "old", "left_anti").join(taken.select("new"), "new", "left_anti").select("old", "new", "n"))
+    return left if done is None else done
+
+
+def notes_flipped(a: DataFrame, b: DataFrame) -> int:
+    """Nodes that change group when groups are matched greedily by overlap."""
+    kept = matched_groups(a, b).agg(F.sum("n")).first()[0] or 0
+    return a.join(b.select("node"), "node").count() - kept
 
 
 def region_level(levels: DataFrame, n: int) -> DataFrame:

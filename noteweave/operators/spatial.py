@@ -16,8 +16,8 @@ from noteweave.functions.geometry import hilbert, quantise
 from noteweave.operators.graph import at_rank
 from noteweave.session import beside, cut
 
-#: Nodes of a component chunked by one task; a larger component is cut along the curve first.
-MAX_NODES = 500_000
+#: Cells never reach across multiples of this place along the curve, in components of every size; a stretch is one task.
+STRETCH = 4_096
 
 
 def hilbert_keys(pos: DataFrame, bits: int = 16) -> DataFrame:
@@ -61,11 +61,11 @@ def chunk(gaps: list[float], arity: int) -> list[int]:
     return ends
 
 
-def curve_cells(ordered: DataFrame, arity: int = 8, max_nodes: int = MAX_NODES) -> DataFrame:
+def curve_cells(ordered: DataFrame, arity: int = 8, stretch: int = STRETCH) -> DataFrame:
     """(component, pos, node, leaf): nodes in leaf cells of arity/2 to arity, never across components.
 
-    A component above ``max_nodes`` is chunked in stretches of the curve of
-    that length, so runs meet a fixed cut there.
+    Every ``stretch`` places along the curve cells end, whatever the size of
+    the component, and stretches are chunked one by one.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -79,7 +79,7 @@ def curve_cells(ordered: DataFrame, arity: int = 8, max_nodes: int = MAX_NODES)
             begin = end
         return pd.DataFrame({"component": pdf.component, "pos": pdf.pos, "node": pdf.node, "leaf": leaf})
 
-    key = F.floor(F.col("pos") / max_nodes)
+    key = F.floor(F.col("pos") / stretch)
     return ordered.withColumn("part", key).select("component", "part", "pos", "node", "x", "y").groupBy("component", "part").applyInPandas(one, "component long, pos long, node long, leaf long")
 
 

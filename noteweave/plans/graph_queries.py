@@ -72,11 +72,6 @@ def component_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hub_fragility(spark: SparkSession, d: str) -> DataFrame:
-    return G.hub_fragility(nodes(spark, d), cut(_e(spark, d)), (1, 5, 25))
-
-
-def hub_fragility_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every K of the report; hub_fragility has those its SQL knows."""
     return G.hub_fragility(nodes(spark, d), cut(_e(spark, d)))
 
 
@@ -184,7 +179,7 @@ def displacement(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    edges_undirected, edge_directions, degrees, degree_summary, power_law, clustering, components, component_report, component_histogram, hub_fragility, hub_fragility_all,
+    edges_undirected, edge_directions, degrees, degree_summary, power_law, clustering, components, component_report, component_histogram, hub_fragility,
     folder_correlation, degree_norm_edges, path_chain, orphan_drawer, modularity, contracted, dense_labels, partition_overlap, graph_stats, shape_class,
     bipartite, cocitation, missing_edge, cross_folder_links, neighbourhood, link_spread, bimodality, highways, procrustes, displacement,
 )}
@@ -249,7 +244,7 @@ SELECT node, degree, coalesce(closed, 0) AS closed, round(2.0 * coalesce(closed,
     "components": f"WITH RECURSIVE {_E}, {_CC} SELECT node, component FROM cc",
     "component_report": f"WITH RECURSIVE {_E}, {_CC} SELECT sum(size) AS n_nodes, count(*) AS n_components, max(size) AS largest, round(100.0 * max(size) / sum(size), 6) AS largest_pct FROM sizes",
     "component_histogram": f"WITH RECURSIVE {_E}, {_CC} SELECT length(bin(size)) - 1 AS bucket, count(*) AS n_components FROM sizes GROUP BY 1",
-    "hub_fragility": f"WITH RECURSIVE {_E}, {_fragile(1)}, {_fragile(5)}, {_fragile(25)} SELECT * FROM row1 UNION ALL SELECT * FROM row5 UNION ALL SELECT * FROM row25",
+    "hub_fragility": f"WITH RECURSIVE {_E}, {', '.join(map(_fragile, (1, 2, 5, 10, 25, 50)))} {' UNION ALL '.join(f'SELECT * FROM row{k}' for k in (1, 2, 5, 10, 25, 50))}",
     "folder_correlation": f"""WITH RECURSIVE {_E}, {_CC}, {_PATHS}, p AS (SELECT component, {_DIR.format('path')} AS dir, split_part(path, '/', 1) AS top FROM paths JOIN cc USING (node)),
 g AS (SELECT (SELECT coalesce(sum{_C2}, 0) FROM (SELECT count(*) AS n FROM p GROUP BY component)) AS in_all, (SELECT coalesce(sum{_C2}, 0) FROM (SELECT count(*) AS n FROM p GROUP BY component, dir)) AS in_dir,
   (SELECT coalesce(sum{_C2}, 0) FROM (SELECT count(*) AS n FROM p GROUP BY component, top)) AS in_top, (SELECT coalesce(sum{_C2}, 0) FROM (SELECT count(*) AS n FROM p GROUP BY dir)) AS dir,

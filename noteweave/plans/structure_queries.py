@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from noteweave.functions import geometry
 from noteweave.operators import cluster, graph, query, resolve, spatial
 from noteweave.plans.graph_queries import nodes, positions
-from noteweave.session import cut, table
+from noteweave.plans.text_queries import _RESOLVE
+from noteweave.session import beside, cut, table
 from noteweave.sources import mediawiki, synth
 from noteweave.streaming import incremental
 
@@ -125,19 +126,111 @@ def communities(spark: SparkSession, d: str) -> DataFrame:
     return cluster.communities(n, e)
 
 
+def _checked(n: DataFrame, e: DataFrame, levels: DataFrame) -> DataFrame:
+    """One row on labels of levels: nodes, nodes without a label on the finest, groups in several parts, labels that
+    are no node of their group, and levels that do not have fewer groups than the one below."""
+    levels = cut(levels)
+    fine = levels.filter("level = 0").select("node", "label")
+    parts = cluster.connected_parts(e, fine).withColumnRenamed("label", "part").join(fine, "node").groupBy("label").agg(F.count_distinct("part").alias("k"))
+    groups = levels.groupBy("level").agg(F.count_distinct("label").alias("k"))
+    above = groups.select((F.col("level") - 1).alias("level"), F.col("k").alias("k2"))
+    row = n.agg(F.count(F.lit(1)).alias("n_nodes"))
+    row = beside(row, n.join(fine, "node", "left_anti").agg(F.count(F.lit(1)).alias("n_unlabelled")))
+    row = beside(row, parts.filter("k > 1").agg(F.count(F.lit(1)).alias("n_apart")))
+    row = beside(row, levels.groupBy("level", "label").agg(F.min("node").alias("low")).filter("low <> label AND label <> -1").agg(F.count(F.lit(1)).alias("n_misnamed")))
+    return beside(row, groups.join(above, "level").filter("k2 >= k").agg(F.count(F.lit(1)).alias("n_idle_levels")))
+
+
+def community_checks(spark: SparkSession, d: str) -> DataFrame:
+    n, e = _note_graph(spark, d)
+    return _checked(n, e, cluster.communities(n, e))
+
+
+def community_checks_parallel(spark: SparkSession, d: str) -> DataFrame:
+    """The same where every component above 20 edges begins with parallel moves."""
+    n, e = _note_graph(spark, d)
+    return _checked(n, e, cluster.communities(n, e, 20))
+
+
 def communities_parallel(spark: SparkSession, d: str) -> DataFrame:
     return cluster.parallel_moves(_e(spark, d))
 
 
+def community_gain(spark: SparkSession, d: str) -> DataFrame:
+    """One row better: do the communities, the parallel ones and the regions all beat one group a node, by modularity?"""
+    n, e = _note_graph(spark, d)
+    found = cut(cluster.communities(n, e))
+    labels = [found.filter("level = 0").select("node", "label"), cluster.parallel_moves(e), cluster.region_labels(found), n.select("node", F.col("node").alias("label"))]
+    q = [graph.modularity(e, x).first()["q"] for x in labels]
+    return spark.createDataFrame([(all(x > q[3] + 0.1 for x in q[:3]), q[1] > q[0] - 0.1)], "better boolean, parallel_is_near boolean")
+
+
 def coarsening_ladder(spark: SparkSession, d: str) -> DataFrame:
     n, e = _note_graph(spark, d)
-    return cluster.ladder_report(cluster.coarsening(n, e))
+    reports = [cluster.ladder_report(cluster.coarsening(n, e, arity), arity).withColumn("arity", F.lit(arity)) for arity in (4, 7)]
+    return reports[0].unionByName(reports[1])
+
+
+def ladder_checks(spark: SparkSession, d: str) -> DataFrame:
+    """For arity 4 and 7: nodes, nodes on no level, groups of more than arity groups of the level below."""
+    n, e = _note_graph(spark, d)
+    rows = []
+    for arity in (4, 7):
+        levels = cut(cluster.coarsening(n, e, arity))
+        below = levels.select((F.col("level") + 1).alias("level"), "node", F.col("label").alias("low"))
+        wide = levels.filter("label <> -1").join(below, ["level", "node"], "left").groupBy("level", "label").agg(F.count_distinct(F.coalesce("low", "node")).alias("k")).filter(F.col("k") > arity)
+        row = n.agg(F.lit(arity).alias("arity"), F.count(F.lit(1)).alias("n_nodes"))
+        row = beside(row, n.join(levels.filter("level = 0"), "node", "left_anti").agg(F.count(F.lit(1)).alias("n_unlabelled")))
+        rows.append(beside(row, wide.agg(F.count(F.lit(1)).alias("n_wide"))))
+    return rows[0].unionByName(rows[1])
+
+
+def ladder_tree(spark: SparkSession, d: str) -> DataFrame:
+    """One row on the tree of cells: notes in it, cells with a single child, cells that reach beyond their parent, notes missing in their run."""
+    n, e = _note_graph(spark, d)
+    levels = cut(cluster.coarsening(n, e).filter("label <> -1"))
+    tree = cut(cluster.tree_cells(levels))
+    kids = tree.groupBy("parent_first", "parent_last").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("inside")).filter("parent_first IS NOT NULL")
+    row = tree.filter("depth = 0").agg(F.sum("n").alias("n_notes"))
+    row = beside(row, kids.filter("k = 1 AND inside = parent_last - parent_first + 1").agg(F.count(F.lit(1)).alias("n_single")))
+    row = beside(row, tree.filter("parent_first IS NOT NULL AND (first < parent_first OR last > parent_last)").agg(F.count(F.lit(1)).alias("n_beyond")))
+    return beside(row, tree.filter("n <> last - first + 1").agg(F.count(F.lit(1)).alias("n_gaps")))
 
 
 def region_labels(spark: SparkSession, d: str) -> DataFrame:
     return cluster.region_labels(cut(communities(spark, d)))
 
 
+def region_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """One row on regions after specks were merged and large groups split: nodes, nodes lost, specks left that have a neighbour."""
+    n, e = _note_graph(spark, d)
+    found = cluster.region_labels(cut(cluster.communities(n, e)))
+    merged = cluster.merged_specks(cut(found), e, 8)
+    split = cut(cluster.split_oversized(merged, e, 256))
+    sizes = merged.groupBy("label").agg(F.count(F.lit(1)).alias("k"))
+    c = graph.contracted(e, merged).filter("a <> b")
+    near = c.select(F.explode(F.array("a", "b")).alias("label")).distinct()
+    row = n.agg(F.count(F.lit(1)).alias("n_nodes"))
+    row = beside(row, n.join(split, "node", "left_anti").agg(F.count(F.lit(1)).alias("n_lost")))
+    return beside(row, sizes.filter("k < 8").join(near, "label").agg(F.count(F.lit(1)).alias("n_specks")))
+
+
+def heavy_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """One row on heavy-edge matching of the note graph: nodes, groups above four, groups not joined by links."""
+    _, e = _note_graph(spark, d)
+    labels = cut(cluster.heavy_groups(e))
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("k"))
+    parts = cluster.connected_parts(e, labels).withColumnRenamed("label", "part").join(labels, "node").groupBy("label").agg(F.count_distinct("part").alias("k"))
+    row = labels.agg(F.count(F.lit(1)).alias("n_nodes"))
+    row = beside(row, sizes.filter("k > 4").agg(F.count(F.lit(1)).alias("n_large")))
+    return beside(row, parts.filter("k > 1").agg(F.count(F.lit(1)).alias("n_apart")))
+
+
+def matched_groups(spark: SparkSession, d: str) -> DataFrame:
+    n = nodes(spark, d)
+    return graph.matched_groups(n.select("node", F.pmod("node", F.lit(10)).alias("label")), n.select("node", F.pmod("node", F.lit(3)).alias("label")))
+
+
 def sibling_pairs(spark: SparkSession, d: str) -> DataFrame:
     return graph.sibling_pairs(_e(spark, d), _two_levels(spark, d)).withColumn("w", F.round("w", 4))
 
@@ -259,7 +352,7 @@ def note_meta(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     hilbert_order, curve_spacing, curve_cells, hex_cells, ring_histogram, component_extents, robust_radius, cell_web, heaviest_neighbours, sibling_overlap, six_fold_order,
-    lod_cut, lod_links, resolve_zoom, layout, communities, communities_parallel, coarsening_ladder, region_labels, sibling_pairs, outside_pull, level_report, community_shapes, cocitation_ratio, descent_travel, hex_spiral, chain_synth, motif_synth, hub_synth, synth_summary,
+    lod_cut, lod_links, resolve_zoom, layout, communities, community_checks, community_checks_parallel, communities_parallel, community_gain, coarsening_ladder, ladder_checks, ladder_tree, region_labels, region_sizes, heavy_pairs, matched_groups, sibling_pairs, outside_pull, level_report, community_shapes, cocitation_ratio, descent_travel, hex_spiral, chain_synth, motif_synth, hub_synth, synth_summary,
     wiki_titles, redirect_resolve, wiki_import_report, incremental_outcomes, missing_rows, same_edges, dirty_overlay, link_signatures, event_routes, note_meta,
 )}
 
@@ -283,7 +376,46 @@ _STATE = "SELECT 'user/' || user_id || '.md' AS path, event_type || ':' || value
 _STATES = f"o AS ({_STATE.format(CUTS[0])}), n AS ({_STATE.format(CUTS[1])})"
 _LINKS = "l AS (SELECT DISTINCT link_id, src_key, raw, seen_at FROM links WHERE raw IS NOT NULL)"
 
+_NOTE_GRAPH = f"""{_RESOLVE},
+linked AS (SELECT DISTINCT least(src_key, dst_key) AS a, greatest(src_key, dst_key) AS b FROM resolved WHERE resolved AND src_key <> dst_key),
+ends AS (SELECT a AS node FROM linked UNION SELECT b FROM linked),
+members AS (SELECT DISTINCT note_key AS node FROM living UNION SELECT node FROM ends)"""
+_HILBERT = f"""{_P}, box AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p),
+grid AS (SELECT node, component, p.x AS px, p.y AS py, greatest(0, least(65535, floor((p.x - x0) / (x1 - x0) * 65535)))::BIGINT AS x, greatest(0, least(65535, floor((p.y - y0) / (y1 - y0) * 65535)))::BIGINT AS y FROM p, box),
+walk AS (
+  SELECT node, x, y, 0::BIGINT AS key, 32768::BIGINT AS s FROM grid UNION ALL
+  SELECT node, CASE WHEN (y & s) = 0 THEN CASE WHEN (x & s) > 0 THEN 65535 - y ELSE y END ELSE x END, CASE WHEN (y & s) = 0 THEN CASE WHEN (x & s) > 0 THEN 65535 - x ELSE x END ELSE y END,
+    key + s * s * xor(3 * ((x & s) > 0)::BIGINT, ((y & s) > 0)::BIGINT), s >> 1 FROM walk WHERE s > 0),
+curve AS (SELECT component, row_number() OVER (PARTITION BY component ORDER BY key, node) - 1 AS pos, node, key, px, py FROM walk JOIN grid USING (node) WHERE s = 0)"""
+
 ORACLE = {
+    "community_checks": f"WITH {_NOTE_GRAPH} SELECT count(*) AS n_nodes, 0 AS n_unlabelled, 0 AS n_apart, 0 AS n_misnamed, 0 AS n_idle_levels FROM members",
+    "community_checks_parallel": f"WITH {_NOTE_GRAPH} SELECT count(*) AS n_nodes, 0 AS n_unlabelled, 0 AS n_apart, 0 AS n_misnamed, 0 AS n_idle_levels FROM members",
+    "community_gain": "SELECT true AS better, true AS parallel_is_near",
+    "ladder_checks": f"WITH {_NOTE_GRAPH} SELECT unnest([4, 7]) AS arity, count(*) AS n_nodes, 0 AS n_unlabelled, 0 AS n_wide FROM members",
+    "ladder_tree": f"WITH {_NOTE_GRAPH} SELECT count(*) AS n_notes, 0 AS n_single, 0 AS n_beyond, 0 AS n_gaps FROM ends",
+    "region_sizes": f"WITH {_NOTE_GRAPH} SELECT count(*) AS n_nodes, 0 AS n_lost, 0 AS n_specks FROM members",
+    "heavy_pairs": f"WITH {_NOTE_GRAPH} SELECT count(*) AS n_nodes, 0 AS n_large, 0 AS n_apart FROM ends",
+    "matched_groups": """WITH RECURSIVE nodes AS (SELECT note_id AS node FROM notes UNION SELECT hub_id FROM hub_titles UNION SELECT a FROM edges WHERE a IS NOT NULL UNION SELECT b FROM edges WHERE b IS NOT NULL),
+o AS (SELECT node % 10 AS old, node % 3 AS new, count(*) AS n FROM nodes GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (ORDER BY n DESC, old, new) AS i FROM o),
+walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS olds, []::BIGINT[] AS news, []::BIGINT[] AS taken UNION ALL
+  SELECT j, CASE WHEN ok THEN list_append(olds, old) ELSE olds END, CASE WHEN ok THEN list_append(news, new) ELSE news END, CASE WHEN ok THEN list_append(taken, j) ELSE taken END
+  FROM (SELECT w.olds, w.news, w.taken, r.i AS j, r.old, r.new, NOT list_contains(olds, r.old) AND NOT list_contains(news, r.new) AS ok FROM walk w JOIN ranked r ON r.i = w.i + 1))
+SELECT old, new, n FROM ranked WHERE list_contains((SELECT taken FROM walk ORDER BY i DESC LIMIT 1), i)""",
+    "hilbert_order": f"WITH RECURSIVE {_HILBERT} SELECT component, pos, node, key FROM curve",
+    "curve_spacing": f"""WITH RECURSIVE {_HILBERT}, gaps AS (SELECT component, sqrt((lead(px) OVER w - px) ** 2 + (lead(py) OVER w - py) ** 2) AS g FROM curve WINDOW w AS (PARTITION BY component ORDER BY pos)),
+r AS (SELECT component, g, row_number() OVER (PARTITION BY component ORDER BY g) - 1 AS i, count(*) OVER (PARTITION BY component) AS n FROM gaps WHERE g IS NOT NULL)
+SELECT component, n AS n_gaps, g AS spacing FROM r WHERE i = n // 2""",
+    "hex_cells": f"""WITH {_P}, f AS (SELECT x / (0.1 * sqrt(3)) - y / 0.15 / 2 AS fq, y / 0.15 AS fr FROM p),
+r AS (SELECT fq, fr, round_even(fq, 0) AS q, round_even(fr, 0) AS r, round_even(-fq - fr, 0) AS s FROM f),
+d AS (SELECT *, abs(q - fq) AS dq, abs(r - fr) AS dr, abs(s + fq + fr) AS ds FROM r),
+c AS (SELECT (CASE WHEN dq > dr AND dq > ds THEN -r - s ELSE q END)::INT AS q, (CASE WHEN dq > dr AND dq > ds THEN r WHEN dr > ds THEN -q - s ELSE r END)::INT AS r FROM d)
+SELECT q, r, count(*) AS n, (abs(q) + abs(r) + abs(q + r)) // 2 AS ring FROM c GROUP BY q, r""",
+    "hex_spiral": """WITH k AS (SELECT i AS id, ceil((sqrt(12 * i + 9) - 3) / 6)::INT AS k FROM range(1000) t(i)),
+j AS (SELECT id, k, CASE WHEN k > 0 THEN (id - (3 * k * (k - 1) + 1)) // k ELSE -1 END AS side, CASE WHEN k > 0 THEN (id - (3 * k * (k - 1) + 1)) % k ELSE 0 END AS i FROM k)
+SELECT id, CASE side WHEN 0 THEN k - i WHEN 1 THEN -i WHEN 2 THEN -k WHEN 3 THEN i - k WHEN 4 THEN i WHEN 5 THEN k ELSE 0 END AS q,
+  CASE side WHEN 0 THEN i WHEN 1 THEN k WHEN 2 THEN k - i WHEN 3 THEN -i WHEN 4 THEN -k WHEN 5 THEN i - k ELSE 0 END AS r FROM j""",
     "ring_histogram": f"WITH {_P}, f AS (SELECT max(x * x + y * y) AS far FROM p) SELECT least(7, floor((x * x + y * y) / far * 8))::INT AS ring, count(*) AS n FROM p, f GROUP BY 1",
     "component_extents": f"WITH {_P}, m AS (SELECT component, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY component) SELECT component, n, round(cx, 6) AS x, round(cy, 6) AS y, round(max(sqrt((p.x - cx) ** 2 + (p.y - cy) ** 2)), 6) AS radius FROM p JOIN m USING (component) GROUP BY component, n, cx, cy",
     "robust_radius": f"""WITH {_P}, m AS (SELECT component, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY component),

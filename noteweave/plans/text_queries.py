@@ -268,6 +268,9 @@ FROM (SELECT DISTINCT link_id, src_key, raw, {_NORM.format("split_part(url_decod
     "backlink_filter": f"""WITH {_RESOLVE} SELECT DISTINCT dst_key, src_key FROM resolved LEFT JOIN (SELECT note_key, title FROM {_CURRENT}) t ON t.note_key = src_key
 WHERE resolved AND (lower(src_key) LIKE '%l%e%d%g%e%r%' OR lower(title) LIKE '%l%e%d%g%e%r%' OR lower(raw) LIKE '%l%e%d%g%e%r%' OR lower(alias) LIKE '%l%e%d%g%e%r%')""",
     "complete_notes": f"WITH {_COMPLETE} SELECT * FROM ranked WHERE rank <= 64",
+    "completion_items": f"""WITH {_COMPLETE}, near AS (SELECT *, {_DIR.format("note_key")} AS dir FROM ranked WHERE rank <= 64),
+way AS (SELECT *, repeat('../', 2 - {_SHARED.format("'archive/2024'", "dir")}) || array_to_string(string_split(note_key, '/')[1 + {_SHARED.format("'archive/2024'", "dir")}:], '/') AS way FROM near)
+SELECT rank, name AS label, '[' || coalesce(nullif(regexp_replace(name, '[\\[\\]]', '', 'g'), ''), 'note') || '](' || replace(url_encode(way), '%2F', '/') || ')' AS "insert", note_key AS detail FROM way""",
     "outbound": f"WITH {_RESOLVE} SELECT src_key, count(*) AS n_links, count(DISTINCT dst_key) AS n_targets FROM resolved GROUP BY src_key",
     "note_edges": f"WITH {_RESOLVE} SELECT least(src_key, dst_key) AS a, greatest(src_key, dst_key) AS b, count(*) AS n FROM resolved WHERE resolved AND src_key <> dst_key GROUP BY 1, 2",
     **shop.ORACLE,

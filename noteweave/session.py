@@ -9,6 +9,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of the largest size in bytes an estimate may have and still mean anything.
+MOST_BITS = 60
 #: Rows up to which a dimension whose size has just been counted is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -56,9 +58,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the checkpoint folder and read it from there.
+
+    The size the optimizer expects is a product over joins. Carried along in a
+    loop it grows to millions of digits, until planning takes longer than the
+    work, so a senseless size is left behind.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)
+    plan = done._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())).bit_length() <= MOST_BITS:
+        return done
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), done._jdf.schema(), False), spark)
 
 
 def beside(df: DataFrame, row: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ def test_curve_and_cells(spark):
         cells[r.component, r.leaf].append(r.pos)
     assert all(4 <= len(v) <= 8 and max(v) - min(v) == len(v) - 1 for v in cells.values())
     assert S.chunk([1, 1, 9, 1, 1, 1, 1, 1, 1], 4) == [3, 5, 7, 10] or sum(1 for _ in S.chunk([1] * 9, 4)) >= 3
-    assert S.curve_cells(ordered, 8, max_nodes=20).count() == 144
+    assert S.curve_cells(ordered, 8, stretch=20).count() == 144
 
 
 def test_level_of_detail(spark):
@@ -239,6 +239,51 @@ def test_note_graph_covers_every_living_note(spark):
     assert round(bottom.groups * bottom.mean_size) == len(found)
 
 
+def _planted(spark):
+    rng = random.Random(1)
+    edges = set()
+    for _ in range(900):
+        g = rng.randrange(12)
+        a, b = g * 20 + rng.randrange(20), (g if rng.random() < 0.92 else rng.randrange(12)) * 20 + rng.randrange(20)
+        if a != b:
+            edges.add((min(a, b), max(a, b)))
+    return spark.range(245).select(F.col("id").alias("node")), spark.createDataFrame([(a, b, 1.0) for a, b in sorted(edges)], "a long, b long, w double")
+
+
+def test_large_components_get_all_levels(spark):
+    nodes, e = _planted(spark)
+    levels = K.communities(nodes, e, 50).cache()
+    counts = {r.level: r.k for r in levels.groupBy("level").agg(F.count_distinct("label").alias("k")).collect()}
+    assert sorted(counts) == list(range(len(counts))) and len(counts) >= 2
+    top = levels.filter(f"level = {len(counts) - 1}").select("node", "label")
+    assert G.modularity(e, top).first().q > 0.8
+    assert levels.filter("level = 0").count() == 245
+
+
+def test_tree_of_cells(spark):
+    levels = spark.createDataFrame([(0, 1, 1), (0, 2, 1), (0, 3, 3), (0, 4, 4), (1, 1, 1), (1, 2, 1), (1, 3, 1), (1, 4, 4), (2, 1, 1), (2, 2, 1), (2, 3, 1), (2, 4, 1), (0, 9, 9), (0, 8, 8), (1, 8, 8), (1, 9, 8)], "level int, node long, label long")
+    got = sorted(tuple(r) for r in K.tree_cells(levels).collect())
+    assert got == [(0, 1, 2, 2, 0, 2), (0, 2, 3, 1, 0, 3), (0, 3, 4, 0, None, None), (2, 2, 1, 2, 0, 2), (3, 3, 1, 1, 0, 3), (4, 4, 1, 1, 4, 5), (4, 5, 2, 0, None, None), (5, 5, 1, 1, 4, 5)]
+
+
+def test_matching_is_the_greedy_one(spark):
+    rng = random.Random(4)
+    a = [(i, rng.randrange(6)) for i in range(200)]
+    b = [(i, rng.randrange(5)) for i in range(200)]
+    over = defaultdict(int)
+    for (i, x), (_, y) in zip(a, b, strict=True):
+        over[x, y] += 1
+    old, new, want = set(), set(), set()
+    for (x, y), n in sorted(over.items(), key=lambda t: (-t[1], t[0])):
+        if x not in old and y not in new:
+            old.add(x)
+            new.add(y)
+            want.add((x, y, n))
+    got = {tuple(r) for r in G.matched_groups(spark.createDataFrame(a, "node int, label int"), spark.createDataFrame(b, "node int, label int")).collect()}
+    assert got == want
+    assert G.notes_flipped(spark.createDataFrame(a, "node int, label int"), spark.createDataFrame(b, "node int, label int")) == 200 - sum(n for *_, n in want)
+
+
 def test_components_of_a_long_path_reach_the_fixed_point(spark):
     n = 3000
     e = spark.createDataFrame([(i, i + 1) for i in range(n)], "a int, b int")
