@@ -241,6 +241,10 @@ SELECT x_min, n AS n_tail, CASE WHEN n >= 50 THEN round(1 + n / s, 6) END AS alp
     "clustering": f"""WITH {_E}, tri AS (SELECT x.a AS p, x.b AS q, z.b AS r FROM e x JOIN e z ON z.a = x.b JOIN e y ON y.a = x.a AND y.b = z.b),
 per AS (SELECT node, count(*) AS closed FROM (SELECT p AS node FROM tri UNION ALL SELECT q FROM tri UNION ALL SELECT r FROM tri) GROUP BY node)
 SELECT node, degree, coalesce(closed, 0) AS closed, round(2.0 * coalesce(closed, 0) / (degree * (degree - 1)), 9) AS coefficient FROM deg LEFT JOIN per USING (node) WHERE degree BETWEEN 2 AND 400""",
+    "missing_edge": f"""WITH RECURSIVE {_E}, {_CC}, sized AS (SELECT component, count(*) AS size FROM cc GROUP BY component HAVING count(*) > 2),
+able AS (SELECT cc.node AS a, component FROM cc JOIN sized USING (component) JOIN deg ON deg.node = cc.node WHERE degree BETWEEN 1 AND size - 2 ORDER BY 1 LIMIT 1),
+far AS (SELECT a, cc.node AS b FROM able JOIN cc USING (component) WHERE cc.node <> a AND cc.node NOT IN (SELECT v FROM sym WHERE u = a))
+SELECT least(a, min(b)) AS a, greatest(a, min(b)) AS b FROM far GROUP BY far.a""",
     "components": f"WITH RECURSIVE {_E}, {_CC} SELECT node, component FROM cc",
     "component_report": f"WITH RECURSIVE {_E}, {_CC} SELECT sum(size) AS n_nodes, count(*) AS n_components, max(size) AS largest, round(100.0 * max(size) / sum(size), 6) AS largest_pct FROM sizes",
     "component_histogram": f"WITH RECURSIVE {_E}, {_CC} SELECT length(bin(size)) - 1 AS bucket, count(*) AS n_components FROM sizes GROUP BY 1",

@@ -53,10 +53,14 @@ _FOREIGN, _AS_LATIN = "".join(p[0] for p in _PAIRS), "".join(p[1] for p in _PAIR
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
 
 
+def clean_sql(x: str) -> str:
+    """SQL for a text without invisible characters, with ordinary blanks, hyphens and width, composed."""
+    return f"nfc_normalize(translate(regexp_replace(regexp_replace(regexp_replace({x}, '{_INVISIBLE}', '', 'g'), '{_BLANK}', ' ', 'g'), '[\\x{{2010}}\\x{{2011}}]', '-', 'g'), '{_WIDE}', '{_NARROW}'))"
+
+
 def plain_sql(x: str) -> str:
     """SQL for the plain form of a text whose foreign words hold no Latin look-alikes."""
-    clean = f"nfc_normalize(translate(regexp_replace(regexp_replace(regexp_replace({x}, '{_INVISIBLE}', '', 'g'), '{_BLANK}', ' ', 'g'), '[\\x{{2010}}\\x{{2011}}]', '-', 'g'), '{_WIDE}', '{_NARROW}'))"
-    words = f"regexp_extract_all({clean}, '\\p{{L}}+|\\P{{L}}+')"
+    words = f"regexp_extract_all({clean_sql(x)}, '\\p{{L}}+|\\P{{L}}+')"
     mixed = f"CASE WHEN regexp_matches(v, '\\p{{Latin}}') AND regexp_matches(v, '[\\p{{Greek}}\\p{{Cyrillic}}\\p{{Armenian}}]') THEN translate(v, '{_FOREIGN}', '{_AS_LATIN}') ELSE v END"
     return f"array_to_string(list_transform({words}, lambda v: {mixed}), '')"
 
