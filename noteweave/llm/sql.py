@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noteweave.plans.problems import plain_sql
+from noteweave.plans.problems import clean_sql, plain_sql
 
 _PAIRS = """
 pairs AS (SELECT DISTINCT a, b FROM edges WHERE a <> b),
@@ -14,7 +14,26 @@ scored AS (
   SELECT b_lo, b_hi, t, l.n AS n_lo, h.n AS n_hi, total.n AS n
   FROM together JOIN items l ON l.b = b_lo JOIN items h ON h.b = b_hi, total)"""
 
+# The look-alikes of the SQL for skeletons, a character and its prototype; written apart from the operator's table.
+_ALIKE = (
+    "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ԌG ԚQ ԜW ѴV ӀI аa еe ѕs іi јj оo рp сc уy хx һh ԁd ԛq ԝw ѵv ӏl "
+    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ αa γy ιi νv οo ρp υu ϲc ϳj ՕO ՍU ՏS օo սu ոn հh ցg զq յj "
+    "ёë ЁË їï ЇÏ άá ΆÁ έé ΈÉ όó ΌÓ ύú ΎÝ ίí ΊÍ ıi ɡg –- −- ’' ‘' `' ´'"
+).split()
+
+
+def _skeleton_sql(clean: str) -> str:
+    """SQL for the composed skeleton of a text that is clean of invisible and wide characters."""
+    letters = f"translate({clean}, '{''.join(p[0] for p in _ALIKE)}', '{''.join(p[1] for p in _ALIKE).replace(chr(39), chr(39) * 2)}')"
+    folded = f"replace(replace(replace(replace(replace(replace({letters}, '№', 'No'), 'æ', 'ae'), 'œ', 'oe'), 'Æ', 'AE'), 'Œ', 'OE'), 'ﬁ', 'fi')"
+    return f"replace(translate({folded}, 'I1|0', 'lllO'), 'm', 'rn')"
+
+
 ORACLE = {
+    "p3_groups": f"""WITH every AS (SELECT raw AS v FROM links UNION ALL SELECT title FROM wiki_pages UNION ALL SELECT title FROM notes),
+vals AS (SELECT v, count(*) AS n FROM every WHERE v IS NOT NULL GROUP BY v),
+forms AS (SELECT {plain_sql("v")} AS plain, {_skeleton_sql(clean_sql("v"))} AS skeleton, sum(n) AS n, count(*) AS k FROM vals GROUP BY 1, 2)
+SELECT skeleton, sum(n) AS n_rows, sum(k) AS n_spellings, arg_min(plain, (-n, plain)) AS plain FROM forms GROUP BY skeleton HAVING sum(k) > 1""",
     "p3_found": f"""WITH every AS (
   SELECT 'links' AS tbl, link_id AS row_id, raw AS v FROM links
   UNION ALL SELECT 'wiki_pages', page_id, title FROM wiki_pages
