@@ -405,10 +405,13 @@ def missing_edge(e: DataFrame, c: DataFrame) -> DataFrame:
 
 
 def cross_folder_links(e: DataFrame, paths: DataFrame) -> DataFrame:
-    """One row n_links, n_cross: links between notes, and those between folders."""
+    """One row n_links, n_cross, busiest, degree: links between notes, those between folders, and the note
+    with most of them (ties to the smallest)."""
     p = paths.select("node", dir_of(F.col("path")).alias("dir"))
     j = e.join(p.withColumnsRenamed({"node": "a", "dir": "da"}), "a").join(p.withColumnsRenamed({"node": "b", "dir": "db"}), "b")
-    return j.agg(F.count(F.lit(1)).alias("n_links"), F.sum((F.col("da") != F.col("db")).cast("long")).alias("n_cross"))
+    ends = j.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    most = ends.agg(F.max_by("node", F.struct(F.col("degree"), -F.col("node"))).alias("busiest"), F.max("degree").alias("degree"))
+    return beside(j.agg(F.count(F.lit(1)).alias("n_links"), F.sum((F.col("da") != F.col("db")).cast("long")).alias("n_cross")), most)
 
 
 # -- measures of positions (node, x, y)

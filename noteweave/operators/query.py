@@ -22,11 +22,11 @@ def note_by_path(notes: DataFrame, path: str) -> DataFrame:
 
 
 def backlinks(resolved: DataFrame) -> DataFrame:
-    """(dst_key, src_key, line, col, ord, raw, heading, alias, kind): mentions of each real note.
+    """(dst_key, src_key, line, col, ord, raw, heading, alias, kind, context): mentions of each real note.
 
     Order by dst_key, src_key, line, col to read them as a list.
     """
-    return resolved.filter("resolved").select("dst_key", "src_key", "line", "col", "ord", "raw", "heading", "alias", "kind")
+    return resolved.filter("resolved").select("dst_key", "src_key", "line", "col", "ord", "raw", "heading", "alias", "kind", *(c for c in resolved.columns if c == "context"))
 
 
 def backlink_groups(resolved: DataFrame) -> DataFrame:
@@ -66,8 +66,11 @@ def complete(notes: DataFrame, aliases: DataFrame, prefix: str, limit: int) -> D
 
     The prefix is taken as it is, folded; one of over MAX_PREFIX bytes gives none.
     """
-    real = current_notes(notes).select("note_key", F.col("stem").alias("name"), F.lit(False).alias("is_alias"))
-    other = aliases.select("note_key", F.col("alias").alias("name")).distinct().join(real.select("note_key"), "note_key", "left_semi").withColumn("is_alias", F.lit(True))
+    begins = lambda c: T.fold(F.col(c)).startswith(T.fold(F.lit(prefix)))
+    # only notes one of whose names begins so are looked at further
+    some = notes.filter(begins("stem")).select("note_key").unionByName(aliases.filter(begins("alias")).select("note_key")).distinct()
+    real = current_notes(notes.join(some, "note_key", "left_semi")).select("note_key", F.col("stem").alias("name"), F.lit(False).alias("is_alias"))
+    other = aliases.filter(begins("alias")).select("note_key", F.col("alias").alias("name")).distinct().join(real.select("note_key"), "note_key", "left_semi").withColumn("is_alias", F.lit(True))
     names = real.unionByName(other.select("note_key", "name", "is_alias")).withColumn("f", T.fold(F.col("name")))
     fits = F.col("f").startswith(T.fold(F.lit(prefix))) & F.lit(len(prefix.encode()) <= T.MAX_PREFIX)
     top = names.filter(fits).orderBy("is_alias", "f", "name", "note_key").limit(limit)

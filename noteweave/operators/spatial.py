@@ -106,12 +106,24 @@ def heaviest(pairs: DataFrame, cap: int) -> DataFrame:
 
 
 def sibling_overlap(cells: DataFrame) -> DataFrame:
-    """One row n_pairs, overlap_pct, penetration: sibling cells whose discs meet, and how deep on average."""
+    """One row n_pairs, overlap_pct, penetration: sibling cells whose discs meet, and how deep on average.
+
+    Pairs are counted, not formed. Discs that meet are found on a grid of
+    twice the siblings' largest radius, where they lie in one square or in two
+    that touch.
+    """
     c = cells.select("parent", "cell", "x", "y", "radius")
-    o = c.withColumnsRenamed({"cell": "cell2", "x": "x2", "y": "y2", "radius": "r2"})
-    j = c.join(o, "parent").filter("cell < cell2")
+    per = c.groupBy("parent").agg(F.count(F.lit(1)).alias("k"), (2 * F.max("radius")).alias("side"))
+    n = per.agg(F.coalesce(F.sum((F.col("k") * (F.col("k") - 1) / 2).cast("long")), F.lit(0)).alias("n_pairs"))
+    at = lambda v: F.when(F.col("side") > 0, F.floor(F.col(v) / F.col("side"))).otherwise(0)
+    g = c.join(per, "parent").select("parent", "cell", "x", "y", "radius", at("x").alias("gx"), at("y").alias("gy"))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    o = g.select("parent", "gx", "gy", F.col("cell").alias("cell2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("radius").alias("r2"))
+    near = g.withColumn("s", F.explode(steps)).withColumn("gx", F.col("gx") + F.col("s.i")).withColumn("gy", F.col("gy") + F.col("s.j"))
     depth = F.col("radius") + F.col("r2") - F.sqrt(F.pow(F.col("x") - F.col("x2"), F.lit(2)) + F.pow(F.col("y") - F.col("y2"), F.lit(2)))
-    return j.select(depth.alias("d")).agg(F.count(F.lit(1)).alias("n_pairs"), F.round(100 * F.avg((F.col("d") > 0).cast("double")), 6).alias("overlap_pct"), F.round(F.avg(F.when(F.col("d") > 0, F.col("d"))), 6).alias("penetration"))
+    meet = near.join(o, ["parent", "gx", "gy"]).filter("cell < cell2").select(depth.alias("d")).filter("d > 0")
+    row = beside(n, meet.agg(F.count(F.lit(1)).alias("meet"), F.avg("d").alias("deep")))
+    return row.select("n_pairs", F.round(100.0 * F.col("meet") / F.when(F.col("n_pairs") > 0, F.col("n_pairs")), 6).alias("overlap_pct"), F.round("deep", 6).alias("penetration"))
 
 
 def six_fold(cells: DataFrame) -> DataFrame:

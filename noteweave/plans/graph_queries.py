@@ -278,7 +278,9 @@ cc(node, component) USING KEY (node) AS (SELECT node, node FROM dn UNION SELECT
 j AS (SELECT least(x.component, y.component) AS c, min(x.component <> y.component) AS bipartite FROM cc x JOIN cc y ON y.node = -x.node - 1 WHERE x.node >= 0 GROUP BY 1)
 SELECT bipartite, count(*) AS n FROM j GROUP BY bipartite""",
     "cocitation": f"WITH {_E}, s AS (SELECT u, v FROM sym JOIN deg ON node = u WHERE degree BETWEEN 2 AND 128) SELECT x.v AS a, y.v AS b, count(*) AS shared FROM s x JOIN s y ON x.u = y.u AND x.v < y.v WHERE (x.v, y.v) NOT IN (SELECT (a, b) FROM e) GROUP BY 1, 2 HAVING count(*) >= 3",
-    "cross_folder_links": f"WITH {_E}, {_PATHS} SELECT count(*) AS n_links, sum(CASE WHEN {_DIR.format('x.path')} <> {_DIR.format('y.path')} THEN 1 ELSE 0 END) AS n_cross FROM e JOIN paths x ON x.node = a JOIN paths y ON y.node = b",
+    "cross_folder_links": f"""WITH {_E}, {_PATHS}, j AS (SELECT a, b, {_DIR.format('x.path')} <> {_DIR.format('y.path')} AS far FROM e JOIN paths x ON x.node = a JOIN paths y ON y.node = b),
+ends AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM j UNION ALL SELECT b FROM j) GROUP BY node)
+SELECT (SELECT count(*) FROM j) AS n_links, (SELECT sum(far::INT) FROM j) AS n_cross, arg_max(node, (degree, -node)) AS busiest, max(degree) AS degree FROM ends""",
     "neighbourhood": f"WITH {_E} SELECT 0 AS pos, 1 AS node UNION ALL SELECT * FROM (SELECT row_number() OVER (ORDER BY round(w, 6) DESC, v) AS pos, v FROM sym WHERE u = 1) WHERE pos <= 39",
     "link_spread": f"""WITH {_POS}, ext AS (SELECT greatest(max(x) - min(x), max(y) - min(y)) AS ext FROM pos), l AS (SELECT len / ext AS part, greatest(p.d, q.d) AS busy FROM placed JOIN pd p ON p.u = a JOIN pd q ON q.u = b, ext)
 SELECT CASE WHEN busy <= 8 THEN 8 WHEN busy <= 32 THEN 32 WHEN busy <= 128 THEN 128 WHEN busy <= 512 THEN 512 ELSE 0 END AS bucket, count(*) AS n_links, round(avg(part), 6) AS mean_length, round(100.0 * avg(CASE WHEN part > 0.25 THEN 1 ELSE 0 END), 6) AS crossing_pct FROM l GROUP BY 1""",

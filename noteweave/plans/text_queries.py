@@ -209,7 +209,7 @@ _JOINED = """list_reduce(list_filter(string_split_regex({0} || '/' || {1}, '[/\\
 _SHARED = "len(list_filter(range(1, 1 + least(len(string_split({0}, '/')), len(string_split({1}, '/')))), lambda i: {0} <> '' AND string_split({0}, '/')[1:i] = string_split({1}, '/')[1:i]))"
 
 _RESOLVE = f"""
-once AS (SELECT DISTINCT link_id, src_key, ord, raw, heading, alias, kind, line, col FROM links WHERE raw IS NOT NULL),
+once AS (SELECT DISTINCT link_id, src_key, ord, raw, heading, alias, kind, line, col, context FROM links WHERE raw IS NOT NULL),
 asked AS (SELECT * FROM (SELECT *, {_NORM.format("split_part(url_decode(raw), '#', 1)")} AS target, {_DIR.format("src_key")} AS source_dir FROM once WHERE {_NOTE_LIKE.format("raw")}) WHERE target <> ''),
 pairs AS (SELECT DISTINCT target, source_dir, regexp_matches(target, '[/\\\\]') AS by_path FROM asked),
 living AS (SELECT DISTINCT note_key, path, stem FROM notes WHERE alive AND NOT phantom),
@@ -233,7 +233,7 @@ path_hits AS (
 path_best AS (SELECT target, source_dir, note_key AS dst_key, path AS dst_path, pass, false AS ambiguous FROM path_hits QUALIFY row_number() OVER (PARTITION BY target, source_dir ORDER BY pass, path, note_key) = 1),
 best AS (SELECT * FROM name_best UNION ALL SELECT * FROM path_best),
 resolved AS (
-  SELECT link_id, src_key, ord, raw, heading, alias, kind, line, col, dst_key IS NOT NULL AS resolved, coalesce(ambiguous, false) AS ambiguous,
+  SELECT link_id, src_key, ord, raw, heading, alias, kind, line, col, context, dst_key IS NOT NULL AS resolved, coalesce(ambiguous, false) AS ambiguous,
     split_part({_NORM.format("raw")}, '/', -1) AS ghost, coalesce(dst_key, 'phantom:' || {_FOLD.format("split_part(" + _NORM.format("raw") + ", '/', -1)")}) AS dst_key
   FROM asked LEFT JOIN best USING (target, source_dir))"""
 
@@ -266,7 +266,7 @@ FROM (SELECT DISTINCT link_id, src_key, raw, {_NORM.format("split_part(url_decod
     "backlinks": f"WITH {_RESOLVE} SELECT dst_key, src_key, line, col, ord, raw, kind FROM resolved WHERE resolved",
     "backlink_groups": f"WITH {_RESOLVE} SELECT dst_key, src_key, count(*) AS n_mentions, min(line) AS first_line FROM resolved WHERE resolved GROUP BY dst_key, src_key",
     "backlink_filter": f"""WITH {_RESOLVE} SELECT DISTINCT dst_key, src_key FROM resolved LEFT JOIN (SELECT note_key, title FROM {_CURRENT}) t ON t.note_key = src_key
-WHERE resolved AND (lower(src_key) LIKE '%l%e%d%g%e%r%' OR lower(title) LIKE '%l%e%d%g%e%r%' OR lower(raw) LIKE '%l%e%d%g%e%r%' OR lower(alias) LIKE '%l%e%d%g%e%r%')""",
+WHERE resolved AND (lower(src_key) LIKE '%l%e%d%g%e%r%' OR lower(title) LIKE '%l%e%d%g%e%r%' OR lower(raw) LIKE '%l%e%d%g%e%r%' OR lower(alias) LIKE '%l%e%d%g%e%r%' OR lower(context) LIKE '%l%e%d%g%e%r%')""",
     "complete_notes": f"WITH {_COMPLETE} SELECT * FROM ranked WHERE rank <= 64",
     "completion_items": f"""WITH {_COMPLETE}, near AS (SELECT *, {_DIR.format("note_key")} AS dir FROM ranked WHERE rank <= 64),
 way AS (SELECT *, repeat('../', 2 - {_SHARED.format("'archive/2024'", "dir")}) || array_to_string(string_split(note_key, '/')[1 + {_SHARED.format("'archive/2024'", "dir")}:], '/') AS way FROM near)
