@@ -216,6 +216,22 @@ def degree_normalised(e: DataFrame, power: float = 0.5) -> DataFrame:
     return j.select("a", "b", (F.col("w") * F.pow(F.col("k") * F.col("k") / (F.col("da") * F.col("db")), F.lit(power))).alias("w"))
 
 
+def in_order(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` with ``seq``, its place from 0 in the order of ``by``: sorted by ranges, the ranges counted and added up."""
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = cut(placed.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("k"))
+    before = counts.select("__p", F.coalesce(F.sum("k").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # one row per range
+    return placed.join(before, "__p").withColumn("seq", F.col("__b") + F.col("__i")).drop("__p", "__i", "__b")
+
+
+def _next(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """``df`` with ``out``: ``value`` of the next row in an order; NULL in the last. No window holds all rows."""
+    placed = cut(in_order(df, order))
+    after = placed.select((F.col("seq") - 1).alias("seq"), F.col(value).alias(out))
+    return placed.join(after, "seq", "left").drop("seq")
+
+
 def path_chain(paths: DataFrame, weight: float = 0.25) -> DataFrame:
     """(a, b, w): consecutive notes by path, none if no path has a folder.
 
@@ -229,7 +245,7 @@ def path_chain(paths: DataFrame, weight: float = 0.25) -> DataFrame:
     w = Window.partitionBy("bucket").orderBy("path", "node")
     inner = key.withColumn("b", F.lead("node").over(w)).withColumn("first", F.row_number().over(w) == 1)
     heads = inner.filter("first").select("bucket", F.col("node").alias("head"))
-    across = heads.withColumn("next", F.lead("head").over(Window.orderBy("bucket"))).select("bucket", "next")
+    across = _next(heads, "bucket", "head", "next").select("bucket", "next")
     linked = inner.join(across, "bucket").select(F.col("node").alias("a"), F.coalesce("b", "next").alias("b")).filter("b IS NOT NULL")
     some = p.agg(F.max(F.col("path").contains("/")).alias("some"))
     return beside(linked, some).filter("some").select("a", "b", F.lit(weight).alias("w"))
@@ -240,7 +256,7 @@ def orphan_drawer(paths: DataFrame, d: DataFrame) -> DataFrame:
     lost = paths.join(d.filter("degree = 0"), "node").select("node", "path", dir_of(F.col("path")).alias("dir"))
     first = lost.groupBy("dir").agg(F.min_by("node", F.struct("path", "node")).alias("rep"))
     star = lost.join(first, "dir").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    chain = first.select(F.col("rep").alias("a"), F.lead("rep").over(Window.orderBy("dir")).alias("b")).filter("b IS NOT NULL")  # one row per folder
+    chain = _next(first, "dir", "rep", "b").select(F.col("rep").alias("a"), "b").filter("b IS NOT NULL")
     return star.unionByName(chain)
 
 
@@ -268,7 +284,7 @@ def modularity(e: DataFrame, labels: DataFrame) -> DataFrame:
 def dense_labels(labels: DataFrame) -> DataFrame:
     """(node, label): labels renumbered from 0 by their smallest node."""
     first = labels.groupBy("label").agg(F.min("node").alias("head"))
-    return labels.join(first.select("label", (F.dense_rank().over(Window.orderBy("head")) - 1).alias("dense")), "label").select("node", F.col("dense").alias("label"))
+    return labels.join(in_order(first, "head").select("label", F.col("seq").alias("dense")), "label").select("node", F.col("dense").alias("label"))
 
 
 def partition_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
