@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteweave.functions import geometry
-from noteweave.operators import cluster, graph, query, resolve, spatial
+from noteweave.operators import cluster, graph, parse, query, resolve, spatial
 from noteweave.plans.graph_queries import nodes, positions
 from noteweave.plans.text_queries import _RESOLVE
 from noteweave.session import beside, cut, table
@@ -283,6 +283,22 @@ def synth_summary(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def synth_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row on a made vault: notes, links lost between graph and parsed text, whether bridges join components and about a tenth of notes lies elsewhere."""
+    e = cut(synth.graph(spark, "synth:3000:islands:4"))
+    every = spark.range(3000).select(F.col("id").alias("node"))
+    c = cut(graph.components(every, e))
+    scanned = parse.scanned(synth.documents(spark, 3000, e))
+    links = parse.child(scanned, "links").select(F.regexp_extract("note_key", "([0-9]+)", 1).cast("long").alias("a"), F.regexp_extract("raw", "([0-9]+)", 1).cast("long").alias("b"))
+    after = graph.components(every, e.unionByName(synth.bridges(c, 0.05)))
+    paths = synth.folder_paths(c).select("node", F.regexp_extract("path", "^(.*)/", 1).alias("dir")).join(c, "node")
+    home = paths.groupBy("component", "dir").agg(F.count(F.lit(1)).alias("k")).groupBy("component").agg(F.max("k").alias("most"), F.sum("k").alias("size"))
+    row = scanned.agg(F.count(F.lit(1)).alias("n_notes"))
+    row = beside(row, e.join(links, ["a", "b"], "left_anti").agg(F.count(F.lit(1)).alias("n_lost")))
+    row = beside(row, after.agg((F.count_distinct("component") < c.select("component").distinct().count()).alias("joined")))
+    return beside(row, home.agg((1 - F.sum("most") / F.sum("size")).between(0.02, 0.15).alias("leaked")))
+
+
 def wiki_titles(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "wiki_pages").select("page_id", "title").distinct()
     return p.select("page_id", mediawiki.canon(F.col("title")).alias("title"), mediawiki.safe_stem(mediawiki.canon(F.col("title"))).alias("stem"), mediawiki.is_namespaced(F.col("title")).alias("namespaced"))
@@ -352,7 +368,7 @@ def note_meta(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     hilbert_order, curve_spacing, curve_cells, hex_cells, ring_histogram, component_extents, robust_radius, cell_web, heaviest_neighbours, sibling_overlap, six_fold_order,
-    lod_cut, lod_links, resolve_zoom, layout, communities, community_checks, community_checks_parallel, communities_parallel, community_gain, coarsening_ladder, ladder_checks, ladder_tree, region_labels, region_sizes, heavy_pairs, matched_groups, sibling_pairs, outside_pull, level_report, community_shapes, cocitation_ratio, descent_travel, hex_spiral, chain_synth, motif_synth, hub_synth, synth_summary,
+    lod_cut, lod_links, resolve_zoom, layout, communities, community_checks, community_checks_parallel, communities_parallel, community_gain, coarsening_ladder, ladder_checks, ladder_tree, region_labels, region_sizes, heavy_pairs, matched_groups, sibling_pairs, outside_pull, level_report, community_shapes, cocitation_ratio, descent_travel, hex_spiral, chain_synth, motif_synth, hub_synth, synth_summary, synth_checks,
     wiki_titles, redirect_resolve, wiki_import_report, incremental_outcomes, missing_rows, same_edges, dirty_overlay, link_signatures, event_routes, note_meta,
 )}
 
@@ -391,6 +407,7 @@ curve AS (SELECT component, row_number() OVER (PARTITION BY component ORDER BY k
 ORACLE = {
     "community_checks": f"WITH {_NOTE_GRAPH} SELECT count(*) AS n_nodes, 0 AS n_unlabelled, 0 AS n_apart, 0 AS n_misnamed, 0 AS n_idle_levels FROM members",
     "community_checks_parallel": f"WITH {_NOTE_GRAPH} SELECT count(*) AS n_nodes, 0 AS n_unlabelled, 0 AS n_apart, 0 AS n_misnamed, 0 AS n_idle_levels FROM members",
+    "synth_checks": "SELECT 3000 AS n_notes, 0 AS n_lost, true AS joined, true AS leaked",
     "community_gain": "SELECT true AS better, true AS parallel_is_near",
     "ladder_checks": f"WITH {_NOTE_GRAPH} SELECT unnest([4, 7]) AS arity, count(*) AS n_nodes, 0 AS n_unlabelled, 0 AS n_wide FROM members",
     "ladder_tree": f"WITH {_NOTE_GRAPH} SELECT count(*) AS n_notes, 0 AS n_single, 0 AS n_beyond, 0 AS n_gaps FROM ends",

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteweave.operators.graph import in_order
+from noteweave.session import cut
+
 SHAPES = ("orphans", "chain", "hub", "motifs", "islands", "bipartite", "scale_free", "communities")
 #: Sizes of the motifs, in turn.
 MOTIFS = (2, 3, 6, 4, 7)
@@ -83,9 +86,8 @@ def scale_free(spark: SparkSession, n: int, degree: float, seed: int) -> DataFra
     return e.select(to.alias("a"), F.col("id").alias("b")).distinct()
 
 
-def communities(spark: SparkSession, n: int, degree: float, seed: int, mixing: float = 0.1) -> DataFrame:
-    """(a, b, community): groups of power-law sizes; a link leaves its group with probability ``mixing``."""
-    size = 256
+def communities(spark: SparkSession, n: int, degree: float, seed: int, mixing: float = 0.1, size: int = 256) -> DataFrame:
+    """(a, b, community): groups of power-law sizes up to ``size``; a link leaves its group with probability ``mixing``."""
     node = spark.range(n).withColumn("base", F.col("id") - F.col("id") % size)
     k = F.greatest(F.lit(8), F.least(F.lit(size), F.floor(F.lit(8) * F.pow(1 - uniform(seed, F.col("base")), F.lit(-1.0))))).cast("long")
     node = node.withColumn("k", k).withColumn("community", F.col("base") + F.floor((F.col("id") - F.col("base")) / F.col("k")) * F.col("k"))
@@ -114,19 +116,17 @@ def graph(spark: SparkSession, spec: str, seed: int = 1) -> DataFrame:
 
 
 def bridges(components: DataFrame, share: float, seed: int = 1) -> DataFrame:
-    """(a, b): links from about ``share`` of the nodes to the next component's first node."""
-    first = components.groupBy("component").agg(F.min("node").alias("head"))
-    ring = first.select("component", F.crc32(F.col("component").cast("string")).alias("h"), "head")
+    """(a, b): links from about ``share`` of the nodes to the first node of another component, each as likely."""
+    first = cut(in_order(components.groupBy("component").agg(F.min("node").alias("b")), "component"))
     pick = components.filter(uniform(seed, F.col("node")) < share)
-    slots = 997
-    target = ring.groupBy((F.col("h") % slots).alias("slot")).agg(F.min("head").alias("b"))
-    return pick.withColumn("slot", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(slots))).join(target, "slot").select(F.col("node").alias("a"), "b").filter("a <> b")
+    slot = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(max(1, first.count())))
+    return pick.select(F.col("node").alias("a"), slot.alias("seq")).join(first.select("seq", "b"), "seq").select("a", "b").filter("a <> b")
 
 
-def folder_paths(components: DataFrame, leak: float = 0.1, seed: int = 1) -> DataFrame:
-    """(node, path): a folder for each component; a share ``leak`` of notes lies elsewhere."""
-    own = F.pmod(F.xxhash64("component", F.lit(seed)), F.lit(997))
-    other = F.pmod(F.xxhash64("node", F.lit(seed + 1)), F.lit(997))
+def folder_paths(components: DataFrame, leak: float = 0.1, seed: int = 1, folders: int = 997) -> DataFrame:
+    """(node, path): one of ``folders`` folders for each component; a share ``leak`` of notes lies elsewhere."""
+    own = F.pmod(F.xxhash64("component", F.lit(seed)), F.lit(folders))
+    other = F.pmod(F.xxhash64("node", F.lit(seed + 1)), F.lit(folders))
     folder = F.when(uniform(seed + 2, F.col("node")) < leak, other).otherwise(own)
     return components.select("node", F.concat(F.lit("area"), (folder % 31).cast("string"), F.lit("/topic"), folder.cast("string"), F.lit("/note-"), F.col("node").cast("string"), F.lit(".md")).alias("path"))
 
