@@ -99,6 +99,45 @@ def lod_links(spark: SparkSession, d: str) -> DataFrame:
     return spatial.lifted_links(position_edges(spark, d), spatial.cut_of_notes(t, shown), budget)
 
 
+def lod_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row on cuts of the whole and of a window: notes, notes no shown cell stands for, notes with several, notes of the window without one, cells beyond the budget."""
+    t = _tree(spark, d)
+    shown = cut(spatial.lod_cut(t, 100.0, 8.0, 400))
+    box = (-0.05, -0.05, 0.05, 0.05)
+    window = cut(spatial.lod_cut(t, 400.0, 8.0, 200, box))
+    stands, inside = cut(spatial.cut_of_notes(t, shown)), spatial.cut_of_notes(t, window)
+    notes = t.filter("node IS NOT NULL").select("node", "x", "y")
+    row = notes.agg(F.count(F.lit(1)).alias("n_notes"))
+    row = beside(row, notes.join(stands, "node", "left_anti").agg(F.count(F.lit(1)).alias("n_uncovered")))
+    row = beside(row, stands.groupBy("node").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").agg(F.count(F.lit(1)).alias("n_twice")))
+    row = beside(row, notes.filter(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3])).join(inside, "node", "left_anti").agg(F.count(F.lit(1)).alias("n_unseen")))
+    over = shown.agg(F.greatest(F.count(F.lit(1)) - 400, F.lit(0)).alias("n_over"))
+    return beside(row, over)
+
+
+def zoom_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row: notes, notes without a zoom, notes whose way down has a jump below zero or none."""
+    t = _tree(spark, d)
+    row = spatial.resolve_zoom(t, 8.0).agg(F.count(F.lit(1)).alias("n_notes"), F.sum(F.coalesce((F.col("zoom") < 0).cast("int"), F.lit(1))).alias("n_without"))
+    return beside(row, spatial.descent_travel(t).agg(F.sum(F.coalesce((F.col("travel") < 0).cast("int"), F.lit(1))).alias("n_backward"), F.count(F.lit(1)).alias("n_ways")))
+
+
+def layout_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row on the layout: nodes, nodes without a place, and whether linked nodes of a group lie nearer than nodes of a group do."""
+    from noteweave.plans.graph_queries import position_edges
+
+    labels = _pos(spark, d).select("node", F.col("component").alias("label"))
+    e = position_edges(spark, d)
+    p = cut(spatial.force_layout(e, labels)).join(labels, "node")
+    q = p.select(F.col("node").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("label").alias("l2"))
+    apart = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
+    linked = e.join(p.withColumnRenamed("node", "a"), "a").join(q, "b").filter("label = l2").agg(F.avg(apart).alias("linked"))
+    mid = p.groupBy("label").agg(F.avg("x").alias("x2"), F.avg("y").alias("y2"))
+    spread = p.join(mid, "label").agg((2 * F.avg(apart)).alias("spread"))
+    row = labels.join(p.select("node", "x", "y"), "node", "left").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum((F.col("x").isNull() | F.isnan("x") | F.isnan("y")).cast("int")).alias("n_unplaced"))
+    return beside(beside(row, linked), spread).select("n_nodes", "n_unplaced", (F.col("linked") < F.col("spread")).alias("nearer"))
+
+
 def resolve_zoom(spark: SparkSession, d: str) -> DataFrame:
     return spatial.resolve_zoom(_tree(spark, d), 8.0)
 
@@ -368,7 +407,7 @@ def note_meta(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     hilbert_order, curve_spacing, curve_cells, hex_cells, ring_histogram, component_extents, robust_radius, cell_web, heaviest_neighbours, sibling_overlap, six_fold_order,
-    lod_cut, lod_links, resolve_zoom, layout, communities, community_checks, community_checks_parallel, communities_parallel, community_gain, coarsening_ladder, ladder_checks, ladder_tree, region_labels, region_sizes, heavy_pairs, matched_groups, sibling_pairs, outside_pull, level_report, community_shapes, cocitation_ratio, descent_travel, hex_spiral, chain_synth, motif_synth, hub_synth, synth_summary, synth_checks,
+    lod_cut, lod_links, lod_checks, zoom_checks, layout_checks, resolve_zoom, layout, communities, community_checks, community_checks_parallel, communities_parallel, community_gain, coarsening_ladder, ladder_checks, ladder_tree, region_labels, region_sizes, heavy_pairs, matched_groups, sibling_pairs, outside_pull, level_report, community_shapes, cocitation_ratio, descent_travel, hex_spiral, chain_synth, motif_synth, hub_synth, synth_summary, synth_checks,
     wiki_titles, redirect_resolve, wiki_import_report, incremental_outcomes, missing_rows, same_edges, dirty_overlay, link_signatures, event_routes, note_meta,
 )}
 
@@ -407,6 +446,9 @@ curve AS (SELECT component, row_number() OVER (PARTITION BY component ORDER BY k
 ORACLE = {
     "community_checks": f"WITH {_NOTE_GRAPH} SELECT count(*) AS n_nodes, 0 AS n_unlabelled, 0 AS n_apart, 0 AS n_misnamed, 0 AS n_idle_levels FROM members",
     "community_checks_parallel": f"WITH {_NOTE_GRAPH} SELECT count(*) AS n_nodes, 0 AS n_unlabelled, 0 AS n_apart, 0 AS n_misnamed, 0 AS n_idle_levels FROM members",
+    "lod_checks": "SELECT count(*) AS n_notes, 0 AS n_uncovered, 0 AS n_twice, 0 AS n_unseen, 0 AS n_over FROM embeddings",
+    "zoom_checks": "SELECT count(*) AS n_notes, 0 AS n_without, 0 AS n_backward, count(*) AS n_ways FROM embeddings",
+    "layout_checks": "SELECT count(*) AS n_nodes, 0 AS n_unplaced, true AS nearer FROM embeddings",
     "synth_checks": "SELECT 3000 AS n_notes, 0 AS n_lost, true AS joined, true AS leaked",
     "community_gain": "SELECT true AS better, true AS parallel_is_near",
     "ladder_checks": f"WITH {_NOTE_GRAPH} SELECT unnest([4, 7]) AS arity, count(*) AS n_nodes, 0 AS n_unlabelled, 0 AS n_wide FROM members",
