@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noteweave.llm import canonical, confusables, contamination, cooccurrence, markup, mixing, pii
 from noteweave.llm.sql import ORACLE  # noqa: F401
-from noteweave.session import table
+from noteweave.session import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,16 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_values(table(spark, d, "typed_links"), "raw", table(spark, d, "hub_titles"), "hub_id", "title", "aliases")
 
 
+def p1_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Every title and alias typed as it stands, in capitals and as a link: (name, hub_id)."""
+    hubs = table(spark, d, "hub_titles")
+    names = hubs.select(F.explode(F.array_union(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).filter("name IS NOT NULL AND trim(name) <> ''").distinct()
+    typed = names.select("name", F.explode(F.array("name", F.upper("name"), F.concat(F.lit("[["), "name", F.lit("]]")))).alias("raw"))
+    mapped = canonical.map_values(typed, "raw", hubs, "hub_id", "title", "aliases")
+    found = typed.join(mapped.select(F.col("value").alias("raw"), "entry"), "raw")
+    return found.groupBy("name").agg(F.min("entry").cast("int").alias("hub_id"), F.count("entry").alias("n_found"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return confusables.dirty_rows([
         ("links", table(spark, d, "links"), "link_id", "raw"),
@@ -61,6 +71,28 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_self(spark: SparkSession, d: str) -> DataFrame:
+    """Items that are found in their own text, whole."""
+    items = table(spark, d, "eval_items")
+    found = contamination.leaks(items.select(F.col("item_id").alias("doc_id"), "text"), items)
+    return found.filter("doc_id = item_id").groupBy("item_id").agg(F.max("n_words").alias("n_words"))
+
+
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """By mix: uses beyond the repeats allowed, uses counted twice, sources with documents more than a twentieth and half a document off."""
+    weights = table(spark, d, "source_weights")
+    chosen = cut(mixing.schedule(table(spark, d, "documents"), weights))
+    most = weights.select("mix", "source", "max_repeats").distinct()
+    beyond = chosen.join(most, ["mix", "source"]).groupBy("mix").agg(F.sum((F.col("repeat_no") >= F.col("max_repeats")).cast("int")).alias("n_beyond"))
+    twice = chosen.groupBy("mix", "doc_id", "repeat_no").agg(F.count(F.lit(1)).alias("k")).groupBy("mix").agg(F.sum((F.col("k") > 1).cast("int")).alias("n_twice"))
+    reached = mixing.shares(chosen, weights).filter("n_uses > 0")
+    whole = reached.groupBy("mix").agg(F.sum("target_share").alias("there"), F.sum("n_tokens").alias("total"))
+    longest = chosen.groupBy("mix", "source").agg(F.max("n_tokens").alias("longest"))
+    off = reached.join(whole, "mix").join(longest, ["mix", "source"]).withColumn("want", F.col("target_share") / F.col("there") * F.col("total"))
+    off = off.groupBy("mix").agg(F.sum((F.abs(F.col("n_tokens") - F.col("want")) > 0.05 * F.col("want") + F.col("longest") / 2).cast("int")).alias("n_off"))
+    return beyond.join(twice, "mix").join(off, "mix")
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.schedule(table(spark, d, "documents"), table(spark, d, "source_weights"))
 
@@ -80,6 +112,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
+    "p1_titles": p1_titles,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p4_found": p4_found,
@@ -88,7 +121,9 @@ QUERIES = {
     "p5_clean": p5_clean,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p7_self": p7_self,
     "p8_mix": p8_mix,
+    "p8_checks": p8_checks,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_redacted": p9_redacted,

@@ -30,6 +30,10 @@ def _skeleton_sql(clean: str) -> str:
 
 
 ORACLE = {
+    "p1_titles": """WITH names AS (SELECT hub_id, title AS name FROM hub_titles UNION SELECT hub_id, unnest(aliases) FROM hub_titles)
+SELECT name, min(hub_id) AS hub_id, 3 AS n_found FROM names WHERE trim(name) <> '' GROUP BY name""",
+    "p7_self": """SELECT item_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS n_words FROM eval_items WHERE len(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) >= 12""",
+    "p8_checks": "SELECT DISTINCT mix, 0 AS n_beyond, 0 AS n_twice, 0 AS n_off FROM source_weights WHERE mix IS NOT NULL",
     "p3_groups": f"""WITH every AS (SELECT raw AS v FROM links UNION ALL SELECT title FROM wiki_pages UNION ALL SELECT title FROM notes),
 vals AS (SELECT v, count(*) AS n FROM every WHERE v IS NOT NULL GROUP BY v),
 forms AS (SELECT {plain_sql("v")} AS plain, {_skeleton_sql(clean_sql("v"))} AS skeleton, sum(n) AS n, count(*) AS k FROM vals GROUP BY 1, 2)
