@@ -79,7 +79,8 @@ def p7_self(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_checks(spark: SparkSession, d: str) -> DataFrame:
-    """By mix: uses beyond the repeats allowed, uses counted twice, sources with documents more than a twentieth and half a document off."""
+    """By mix: uses beyond the repeats allowed, uses counted twice, sources with documents off by more than is promised:
+    half a document of their own, and their share of what half documents of all sources add to the total."""
     weights = table(spark, d, "source_weights")
     chosen = cut(mixing.schedule(table(spark, d, "documents"), weights))
     most = weights.select("mix", "source", "max_repeats").distinct()
@@ -88,8 +89,11 @@ def p8_checks(spark: SparkSession, d: str) -> DataFrame:
     reached = mixing.shares(chosen, weights).filter("n_uses > 0")
     whole = reached.groupBy("mix").agg(F.sum("target_share").alias("there"), F.sum("n_tokens").alias("total"))
     longest = chosen.groupBy("mix", "source").agg(F.max("n_tokens").alias("longest"))
-    off = reached.join(whole, "mix").join(longest, ["mix", "source"]).withColumn("want", F.col("target_share") / F.col("there") * F.col("total"))
-    off = off.groupBy("mix").agg(F.sum((F.abs(F.col("n_tokens") - F.col("want")) > 0.05 * F.col("want") + F.col("longest") / 2).cast("int")).alias("n_off"))
+    slack = longest.groupBy("mix").agg((F.sum("longest") / 2).alias("slack"))
+    part = F.col("target_share") / F.col("there")
+    off = reached.join(whole, "mix").join(longest, ["mix", "source"]).join(slack, "mix").withColumn("want", part * F.col("total"))
+    allowed = F.col("longest") / 2 + part * F.col("slack") + 0.01 * F.col("want") + 1
+    off = off.groupBy("mix").agg(F.sum((F.abs(F.col("n_tokens") - F.col("want")) > allowed).cast("int")).alias("n_off"))
     return beyond.join(twice, "mix").join(off, "mix")
 
 
