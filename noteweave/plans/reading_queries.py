@@ -10,7 +10,7 @@ from noteweave.functions import text as T
 from noteweave.operators import outline, parse, query, reading, resolve
 from noteweave.plans.graph_queries import positions
 from noteweave.plans.text_queries import _CURRENT, _FOLD, _RESOLVE
-from noteweave.session import table
+from noteweave.session import cut, table
 from noteweave.sources import shop
 from noteweave.sources.shop import _LINKS, _SHOP
 from noteweave.streaming import incremental
@@ -45,7 +45,8 @@ def caret_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shop_resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    notes, scanned = _scanned(spark, d)
+    notes = cut(shop.notes(spark, d))
+    scanned = cut(parse.scanned(notes))
     real = scanned.select("note_key", F.col("note_key").alias("path"), T.stem_of(F.col("note_key")).alias("stem"), F.lit(True).alias("alive"), F.lit(False).alias("phantom"))
     aliases = scanned.select("note_key", F.explode("aliases").alias("alias"))
     links = parse.child(scanned, "links").select(F.col("note_key").alias("src_key"), "ord", "raw", "kind")
