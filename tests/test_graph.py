@@ -289,3 +289,14 @@ def test_components_of_a_long_path_reach_the_fixed_point(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(n)], "a int, b int")
     nodes = spark.range(n + 1).select(F.col("id").cast("int").alias("node"))
     assert G.components(nodes, e).select("component").distinct().collect()[0][0] == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_heavy_groups_are_those_found_one_by_one_at_any_size(spark, seed):
+    import inspect
+
+    rng = random.Random(seed)
+    rows = [(rng.randrange(40), int(40 * rng.random() ** 2), float(rng.randrange(1, 4))) for _ in range(90)] + [(60 + i, 0, 1.0) for i in range(9)]
+    got = {r.node: r.label for r in K.heavy_groups(spark.createDataFrame(rows, "a long, b long, w double")).collect()}
+    assert got == K.heavy_matching(rows)
+    assert list(inspect.signature(K.heavy_groups).parameters) == ["e", "most"]  # no bound by size
