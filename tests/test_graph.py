@@ -300,3 +300,23 @@ def test_heavy_groups_are_those_found_one_by_one_at_any_size(spark, seed):
     got = {r.node: r.label for r in K.heavy_groups(spark.createDataFrame(rows, "a long, b long, w double")).collect()}
     assert got == K.heavy_matching(rows)
     assert list(inspect.signature(K.heavy_groups).parameters) == ["e", "most"]  # no bound by size
+
+
+def test_ladders_keep_their_arity_above_the_bound(spark):
+    nodes, e = _planted(spark)
+    for arity in (4, 7):
+        levels = K.coarsening(nodes, e, arity, 300).cache()
+        below = levels.select((F.col("level") + 1).alias("level"), "node", F.col("label").alias("low"))
+        wide = levels.filter("label <> -1").join(below, ["level", "node"], "left").groupBy("level", "label").agg(F.count_distinct(F.coalesce("low", "node")).alias("k"))
+        assert wide.agg(F.max("k")).first()[0] <= arity
+        assert levels.filter("level = 0").count() == 245
+
+
+def test_parallel_moves_are_the_same_on_arrays_and_tables(spark):
+    _, e = _planted(spark)
+    odd = e.unionByName(spark.createDataFrame([(3, 3, 2.0), (7, 7, 0.5), (500, 500, 1.0)], e.schema))
+    on = [sorted(map(tuple, K.parallel_moves(odd, 3, n).collect())) for n in (10**6, -1)]
+    assert on[0] == on[1] and len({g for _, g in on[0]}) < 200
+    parts = K.connected_parts(odd, K.parallel_moves(odd)).select("node", "label")
+    assert sorted(map(tuple, K._array_labels(odd, 16, True).collect())) == sorted(map(tuple, parts.collect()))
+    assert K.parallel_moves(e.filter("false")).isEmpty()
