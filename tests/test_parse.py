@@ -78,3 +78,15 @@ def test_outline(spark):
     assert got["embed", "e"] == got["tag", "t"] == at["E"]
     edges = outline.section_links(items, links).collect()
     assert [(e.from_item, e.to_item) for e in edges] == [(at["E"], at["C"])]
+
+
+def test_child_rows_made_column_by_column_are_those_of_each_note():
+    import pyarrow as pa
+    from noteweave.operators import parse
+
+    notes = [parse.scan(t) for t in ("", "# h\n\n- [[a]] ![[b é#c|d]] #t\n", "x", "```\n[[no]]\n```\n[q](n.md)")]
+    for name, kind in parse._ROWS.items():
+        fields = [f.name for f in kind.value_type]
+        for some in (notes, notes[:1], []):
+            want = pa.array([[dict(zip(fields, r, strict=True)) for r in getattr(n, name)] for n in some], kind)
+            assert parse._lists([getattr(n, name) for n in some], kind).equals(want)
